@@ -35,7 +35,7 @@ GENERALISE, REMOVE, MEETINGS, DEVIATIONS = 0.75, 0.9, 5, 2.58
 TERMS = 2_000_000
 
 _ENTITIES = [
-    ("EMAIL", r"[\w.+%-]+@[\w-]+(?:\.[\w-]+)+"),
+    ("EMAIL", r"(?<![\w.+%-])[\w.+%-]+@[\w-]+(?:\.[\w-]+)+"),
     ("SECRET", r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\b)[\"']?\s*[=:]\s*(?:\"[^\"\n]{4,}\"|'[^'\n]{4,}'|[^\s\"',;]{6,})"),
     ("SECRET", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
     ("SECRET", r"\b(?:gh[pousr]_\w{30,}|sk-[\w-]{20,}|xox[abprs]-[\w-]{10,}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]*)"),
@@ -64,11 +64,24 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), m.lastgroup.rsplit("_", 1)[0]) for m in _ANY.finditer(text)]
 
 
+def _before(text: str, at: int) -> list[re.Match]:
+    """The last NEAR words before ``at``, whatever their length."""
+    size = 40 * NEAR
+    while True:
+        start = max(0, at - size)
+        found = list(_WORD.finditer(text, start, at))
+        if start and found and found[0].start() == start:
+            del found[0]  # it may have begun earlier
+        if len(found) >= NEAR or not start:
+            return found[-NEAR:]
+        size *= 4
+
+
 def _near(text: str, found: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str, frozenset[str]]]:
     """(from, to, term, classes) of each word near an entity but not in one, each word once."""
     marks: dict[tuple[int, int], set[str]] = {}
     for a, b, c in found:
-        left = list(_WORD.finditer(text, max(0, a - 40 * NEAR), a))[-NEAR:]
+        left = _before(text, a)
         right = []
         for m in _WORD.finditer(text, b):
             right.append(m)
