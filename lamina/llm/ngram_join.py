@@ -17,6 +17,9 @@ Since partners' sizes differ by less than 2, each set is indexed for its own
 power of 2 and for the next, and pairs meet at the larger one's.
 
 Which n-grams count as frequent changes the cost and never the result.
+
+Candidates first meet by their parity bitmaps, which bound the similarity from
+above at a small part of a text's bytes; texts move for those that are left.
 """
 
 from __future__ import annotations
@@ -292,21 +295,83 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int,
         yield [current]
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, n: int, theta: float) -> DataFrame:
-    """(a, b, jaccard) of the candidate pairs that reach theta, from whole texts."""
+def named(docs: DataFrame, n: int = N) -> DataFrame:
+    """(doc_id, text_hash, set, size, bits) of documents that have words, without their texts.
+
+    bits is a parity bitmap: bit i is the number of n-grams whose hash is i
+    modulo its width, modulo 2. The width is the power of 2 from the set's size.
+    """
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            sets = [identity(g) if len(g) else None for _, g in gram_sets(texts, n)]
-            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), batch.column(0)], names=["set", "text"])
+            sets, sizes, bits = [None] * batch.num_rows, [None] * batch.num_rows, [None] * batch.num_rows
+            for i, g in gram_sets(batch.column(2).to_pylist(), n):
+                if len(g):
+                    width = max(64, 1 << (len(g) - 1).bit_length())
+                    sets[i], sizes[i] = identity(g), len(g)
+                    odd = np.bincount((g % np.uint64(width)).astype(np.int64), minlength=width) & 1
+                    bits[i] = np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(sets, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary())],
+                names=["doc_id", "text_hash", "set", "size", "bits"],
+            )
 
-    def verify(key, pdf_pairs, pdf_texts):
+    return (
+        docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+        .mapInArrow(run, "doc_id long, text_hash long, set long, size int, bits binary")
+        .filter("set is not null")
+    )
+
+
+def possible(size_a: np.ndarray, size_b: np.ndarray, bits_a: list[bytes], bits_b: list[bytes], theta: float) -> np.ndarray:
+    """Whether each pair of sets may reach ``theta``.
+
+    Bits that differ are at most the n-grams that only one of the two has, and
+    of similar sets those are at most (1 - theta) / (1 + theta) of both sizes.
+    The wider bitmap is folded to the width of the other.
+    """
+    most = (1 - theta) / (1 + theta) * (size_a + size_b) + 1e-9
+    keep = np.zeros(len(size_a), dtype=bool)
+    width = np.minimum([len(x) for x in bits_a], [len(x) for x in bits_b])
+
+    def folded(bits: list[bytes], w: int) -> np.ndarray:
+        wide = [np.frombuffer(x, dtype=np.uint8) for x in bits]
+        return np.stack([np.bitwise_xor.reduce(x.reshape(-1, w), axis=0) for x in wide])
+
+    for w in np.unique(width).tolist():
+        own = np.flatnonzero(width == w)
+        step = max(1, (4 << 20) // w)
+        for i in range(0, len(own), step):
+            at = own[i : i + step]
+            apart = np.bitwise_count(folded([bits_a[j] for j in at], w) ^ folded([bits_b[j] for j in at], w))
+            keep[at] = apart.sum(axis=1, dtype=np.int64) <= most[at]
+    return keep
+
+
+def _together(pairs: DataFrame, sets: DataFrame, each: int, check, shape: str) -> DataFrame:
+    """Applies ``check`` to buckets of about ``each`` pairs and the rows of ``sets`` of their members. pairs: a cut with least, piece, a, b."""
+    buckets = max(1, -(-pairs.count() // each))
+    keyed = pairs.withColumn("bucket", F.pmod(F.xxhash64("least", "piece"), F.lit(buckets)))
+    members = keyed.select("bucket", F.explode(F.array("a", "b")).alias("set")).distinct()
+    held = members.join(sets, "set").withColumnRenamed("bucket", "at")
+    return keyed.groupBy("bucket").cogroup(held.groupBy("at")).applyInPandas(check, shape)
+
+
+def _verified(docs: DataFrame, meta: DataFrame, pairs: DataFrame, n: int, theta: float) -> DataFrame:
+    """(a, b, jaccard) of the candidate pairs that reach theta. Bitmaps rule most out; the others are verified from whole texts."""
+
+    def screen(key, pdf, sets):
+        at = dict(zip(sets["set"].tolist(), range(len(sets))))
+        size, bits = sets["size"].to_numpy().astype(np.float64), sets["bits"].tolist()
+        a, b = [at[x] for x in pdf["a"].tolist()], [at[x] for x in pdf["b"].tolist()]
+        keep = possible(size[a], size[b], [bits[i] for i in a], [bits[i] for i in b], theta) if len(pdf) else np.zeros(0, dtype=bool)
+        return pdf.loc[keep, ["least", "piece", "a", "b"]]
+
+    def verify(key, pdf, sets):
         import pandas as pd
 
-        texts = pdf_texts["text"].tolist()
-        grams = dict(zip(pdf_texts["set"].tolist(), (g for _, g in gram_sets(texts, n))))
-        a, b = pdf_pairs["a"].tolist(), pdf_pairs["b"].tolist()
+        grams = dict(zip(sets["set"].tolist(), (g for _, g in gram_sets(sets["text"].tolist(), n))))
+        a, b = pdf["a"].tolist(), pdf["b"].tolist()
         sim = np.zeros(len(a))
         for i, (x, y) in enumerate(zip(a, b)):
             gx, gy = grams[x], grams[y]
@@ -318,41 +383,30 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, theta: float) -> DataFr
         keep = sim >= theta
         return pd.DataFrame({"a": np.array(a, dtype=np.int64)[keep], "b": np.array(b, dtype=np.int64)[keep], "jaccard": sim[keep]})
 
-    members = pairs.select("least", "piece", F.explode(F.array("a", "b")).alias("set")).distinct()
-    wanted = cut(members.select("set").distinct())
-    texts = docs.select("text").mapInArrow(named, "set long, text string").join(if_small(wanted), "set", "left_semi").dropDuplicates(["set"])
-    held = members.join(texts, "set").select(F.col("least").alias("l"), F.col("piece").alias("p"), "set", "text")
-    return (
-        pairs.groupBy("least", "piece")
-        .cogroup(held.groupBy("l", "p"))
-        .applyInPandas(verify, "a long, b long, jaccard double")
-        .dropDuplicates(["a", "b"])
-    )
+    sketches = meta.select("set", "size", "bits").dropDuplicates(["set"])
+    left = cut(_together(pairs, sketches, 20_000, screen, "least long, piece long, a long, b long").dropDuplicates(["a", "b"]))
+    wanted = left.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    # One text of each set; equal texts have equal sets.
+    which = cut(meta.join(wanted, "set", "left_semi").groupBy("set").agg(F.min("text_hash").alias("text_hash")))
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(if_small(which), "text_hash").dropDuplicates(["set"])
+    found = cut(_together(left, texts.select("set", "text"), 1_000, verify, "a long, b long, jaccard double"))
+    drop(left)
+    drop(which)
+    return found
 
 
-def similar_sets(docs: DataFrame, n: int = N, theta: float = THETA) -> DataFrame:
-    """(a, b, jaccard), a < b: pairs of different n-gram sets, by their identities."""
+def similar_sets(docs: DataFrame, meta: DataFrame, n: int = N, theta: float = THETA) -> DataFrame:
+    """(a, b, jaccard), a < b: pairs of different n-gram sets, by their identities. meta: a cut of ``named``."""
     if not 0.5 < theta <= 1:
         raise ValueError("theta must be over 0.5 and at most 1")
     index = _index(docs, n, theta)
     lists = index.repartition("sig").sortWithinPartitions("sig").mapInArrow(_lists, "least long, sets array<long>, sizes array<int>")
     pairs = cut(_candidates(lists, theta))
-    found = cut(_verified(docs, pairs, n, theta))
+    found = _verified(docs, meta, pairs, n, theta)
     drop(pairs)
     return found
 
 
-def set_names(docs: DataFrame, n: int = N) -> DataFrame:
-    """(doc_id, set) of documents that have words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [identity(g) if len(g) else None for _, g in gram_sets(batch.column(1).to_pylist(), n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.int64())], names=["doc_id", "set"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, set long").filter("set is not null")
-
-
 def jaccard_join(docs: DataFrame, n: int = N, theta: float = THETA) -> DataFrame:
     """(doc_a, doc_b, jaccard), doc_a < doc_b: all pairs of documents of similarity ``theta`` or more.
 
@@ -361,9 +415,10 @@ def jaccard_join(docs: DataFrame, n: int = N, theta: float = THETA) -> DataFrame
     pairs. Rows that share a doc_id aren't paired with each other, and a pair of
     doc_ids comes once, with its highest similarity. Equal texts pair at 1.
     """
-    named = cut(set_names(docs, n).filter("doc_id is not null").distinct())
-    near = similar_sets(docs, n, theta)
-    a, b = named.toDF("doc_a", "a"), named.toDF("doc_b", "b")
+    meta = cut(named(docs, n))
+    near = similar_sets(docs, meta, n, theta)
+    ids = meta.filter("doc_id is not null").select("doc_id", "set").distinct()
+    a, b = ids.toDF("doc_a", "a"), ids.toDF("doc_b", "b")
     same = a.join(b, F.col("a") == F.col("b")).filter("doc_a < doc_b").select("doc_a", "doc_b", F.lit(1.0).alias("jaccard"))
     other = near.join(a, "a").join(b, "b").filter("doc_a <> doc_b")
     other = other.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "jaccard")
@@ -403,10 +458,10 @@ def near_dedup(docs: DataFrame, n: int = N, theta: float = THETA) -> DataFrame:
     null doc_ids come last in a group. Of rows that share the group's least
     doc_id one stays, of the least text.
     """
-    near = similar_sets(docs, n, theta)
+    meta = cut(named(docs, n))
+    near = similar_sets(docs, meta, n, theta)
     heads = groups(near.select("a", "b"))
-    named = _keyed(docs, n)
-    grouped = named.join(heads.select(F.col("node").alias("set"), "head"), "set", "left").select("doc_id", "text_hash", F.coalesce("head", "set").alias("head"))
+    grouped = meta.join(heads.select(F.col("node").alias("set"), "head"), "set", "left").select("doc_id", "text_hash", F.coalesce("head", "set").alias("head"))
     first = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
     best = grouped.groupBy("head").agg(F.min(first).alias("first"), F.count("*").alias("n"))
     # Groups of one need no decision; the documents that go are few beside those that stay.
@@ -431,21 +486,6 @@ def near_dedup(docs: DataFrame, n: int = N, theta: float = THETA) -> DataFrame:
     return plain.unionByName(kept)
 
 
-def _keyed(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, text_hash, set) of documents that have words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [identity(g) if len(g) else None for _, g in gram_sets(batch.column(2).to_pylist(), n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.int64())], names=["doc_id", "text_hash", "set"])
-
-    return (
-        docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-        .mapInArrow(run, "doc_id long, text_hash long, set long")
-        .filter("set is not null")
-    )
-
-
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of documents of similarity THETA or more."""
     return jaccard_join(documents(spark, sf_dir).select("doc_id", "text"))
