@@ -50,7 +50,7 @@ _ENTITIES = [
 CLASSES = sorted({c for c, _ in _ENTITIES})
 _ANY = re.compile("|".join(f"(?P<{c}_{i}>{p})" for i, (c, p) in enumerate(_ENTITIES)))
 #: Each form has a digit, an @, or one of these.
-_HINTS = (*"0123456789@", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox", "eyJ", "-----BEGIN")
+_HINTS = (*"0123456789@", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox", "eyJ", "-----BEGIN")
 _KEYS = ("passw", "pwd", "secret", "token", "key", "auth")
 _WORD = re.compile(r"\w+")
 
