@@ -41,7 +41,8 @@ def test_blocks():
     assert found[0].linked == 1 and found[2].linked == 0
     assert "nav" in found[0].path and "p" in found[3].path
     assert h.blocks("") == [] and h.blocks("<<<") and h.blocks("plain")[0].text == "plain"
-    assert h.blocks("<p>open <a href='") [0].text == "open"
+    # What can't be a tag is text.
+    assert h.blocks("<p>open <a href='")[0].text == "open < a href='"
 
 
 def test_held_out_accuracy_without_the_tags_that_gave_the_labels(spark):
