@@ -4,20 +4,24 @@ A span is a run of SPAN or more words. It is removed from a document if each
 of its SPAN-word windows is also in a document of a smaller doc_id; so the
 first document keeps the passage.
 
+Exact copies of a text are told by its hash: all but the first are repeated as
+a whole. The other texts go through these steps:
+
 1. Winnowed fingerprints: of PRINT-word hashes, the least in each window of
    SPAN - PRINT + 1 is taken. So two equal passages of SPAN words share one,
    and those in one document only rule out most of the corpus.
 2. Around fingerprints of several documents, the hashes of whole SPAN-word
-   windows tell each repeated window's first document. Its runs of such windows
-   are the reference, in which every repeated passage stands once.
+   windows tell each repeated window's first document, its owner. Runs of owned
+   windows are the reference, in which every repeated passage stands once.
 3. Reference passages are cut into shards of about SHARD words. A suffix
    automaton of each goes to all tasks that hold documents for it, and
    documents are streamed through the shards that share a fingerprint with
-   them; matching statistics of SPAN or more give the maximal spans.
+   them; matching statistics of SPAN or more give the maximal spans, less the
+   windows that a document owns.
 
 Only regions around repeated fingerprints take part from step 2, so the work
 follows the repeated text. Nothing is broadcast that grows with the corpus,
-unless it is counted first.
+unless it is counted first; what is large meets by shuffles at every size.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.llm import tokens
@@ -37,8 +41,8 @@ from lamina.llm.common import cut, documents, drop, if_small
 SPAN, PRINT = 50, 25
 #: Words in a shard of the reference, and words streamed through one copy of its automaton.
 SHARD, STREAM = 400_000, 2_000_000
-#: Documents whose marks may be broadcast; marks are a few dozen bytes each.
-MARKS = 300_000
+#: Rows of marks, a few dozen bytes each, that may be broadcast.
+MARKS = 100_000
 
 
 def prints(h: np.ndarray, span: int, size: int) -> np.ndarray:
@@ -210,56 +214,98 @@ def _windows(regions: DataFrame, span: int) -> DataFrame:
     return regions.select("id", "words").mapInArrow(run, "window long, id long")
 
 
-def _passages(own: DataFrame, span: int) -> DataFrame:
-    """(id, words): runs of windows that are first in their document. own: id, words, first."""
+def _owned(regions: DataFrame, first: DataFrame, span: int) -> DataFrame:
+    """``regions`` with ``owned``, a bit for each window, set if this document is the first that has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = []
+            for i in range(batch.num_rows):
+                w = windows(_words(batch.column(3)[i]), span)
+                own = batch.column(4)[i]
+                if own.is_valid:
+                    own = np.sort(_words(own))
+                    hit = own[np.minimum(np.searchsorted(own, w), len(own) - 1)] == w
+                else:
+                    hit = np.zeros(len(w), dtype=bool)
+                bits.append(np.packbits(hit, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(bits, pa.binary())], names=["id", "hash", "start", "words", "owned"])
+
+    joined = regions.join(first.hint("shuffle_hash"), "id", "left").select("id", "hash", "start", "words", "first")
+    return joined.mapInArrow(run, "id long, hash long, start long, words array<long>, owned binary")
+
+
+def _bits(packed: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(packed, dtype=np.uint8), count=n, bitorder="little").astype(bool)
+
+
+def _passages(regions: DataFrame, span: int) -> DataFrame:
+    """(id, words): runs of windows that their document owns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, out = [], []
             for i in range(batch.num_rows):
-                h, first = _words(batch.column(1)[i]), np.sort(_words(batch.column(2)[i]))
-                w = windows(h, span)
-                hit = first[np.minimum(np.searchsorted(first, w), len(first) - 1)] == w
-                for a, b in _runs(np.flatnonzero(hit)):
+                h = _words(batch.column(1)[i])
+                for a, b in _runs(np.flatnonzero(_bits(batch.column(2)[i].as_py(), len(h) - span + 1))):
                     ids.append(batch.column(0)[i].as_py())
                     out.append(h[a : b + span])
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(out)], names=["id", "words"])
 
-    return own.mapInArrow(run, "id long, words array<long>")
+    return regions.select("id", "words", "owned").mapInArrow(run, "id long, words array<long>")
+
+
+def _whole(copies: DataFrame, span: int) -> DataFrame:
+    """(id, hash, from, to) that span the whole text, of texts of ``span`` words or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.fromiter(map(len, _hashes(batch.column(2).to_pylist())), dtype=np.int64, count=batch.num_rows)
+            keep = pa.array(n >= span)
+            found = [batch.column(0), batch.column(1), pa.array(np.zeros(len(n), dtype=np.int64)), pa.array(n)]
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in found], names=["id", "hash", "from", "to"])
+
+    return copies.select("id", "hash", "text").mapInArrow(run, "id long, hash long, `from` long, `to` long")
 
 
 def spans(docs: DataFrame, span: int = SPAN, size: int = PRINT) -> DataFrame:
     """(id, hash, spans): word ranges [from, to) to remove from the texts of that order and hash."""
     keyed = docs.filter("text is not null").select(_order().alias("id"), F.xxhash64("text").alias("hash"), "text")
+    several = keyed.groupBy("hash").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("hash", "lo")
+    several = if_small(cut(several), MARKS)
+    known = keyed.join(several, "hash", "left")
+    keyed = known.filter("lo is null or id = lo").select("id", "hash", "text")
+    copies = known.filter("id > lo")
+
+    by_print = Window.partitionBy("print")
     found = _prints(keyed, span, size, ["id", "hash"])
-    several = found.groupBy("print").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("print")
-    several = cut(several)
-    marks = found.join(if_small(several), "print", "left_semi").groupBy("id", "hash").agg(F.collect_set("print").alias("prints"))
-    marks = cut(marks)
-    marked = keyed.join(if_small(marks, MARKS), ["id", "hash"]).dropDuplicates(["id", "hash"])
-    regions = cut(_regions(marked.select("id", "hash", "prints", "text"), span, size))
+    found = found.withColumns({"lo": F.min("id").over(by_print), "hi": F.max("id").over(by_print)}).filter("lo < hi")
+    marks = cut(found.groupBy("id", "hash").agg(F.collect_list("print").alias("prints")))
+    marked = keyed.join(if_small(marks, MARKS), ["id", "hash"])
+    bare = cut(_regions(marked.select("id", "hash", "prints", "text"), span, size))
     drop(marks)
-    drop(several)
 
-    window = _windows(regions, span).groupBy("window").agg(F.min("id").alias("id"), F.max("id").alias("hi")).filter("id < hi")
-    first = cut(window.groupBy("id").agg(F.collect_list("window").alias("first")))
-    own = regions.join(if_small(first, MARKS), "id").select("id", "words", "first")
-    passages = cut(_passages(own, span))
+    window = _windows(bare, span).groupBy("window").agg(F.min("id").alias("id"), F.max("id").alias("hi")).filter("id < hi")
+    first = window.groupBy("id").agg(F.collect_list("window").alias("first"))
+    regions = cut(_owned(bare, first, span))
+    drop(bare)
+    passages = cut(_passages(regions, span))
     words = passages.agg(F.sum(F.size("words"))).first()[0] or 0
     shards = max(1, -(-words // SHARD))
     passages = passages.withColumn("shard", F.pmod(F.xxhash64("words"), F.lit(shards)))
 
     there = _prints(passages.select("id", "shard", "words"), span, size, ["id", "shard"]).groupBy("print", "shard").agg(F.min("id").alias("least"))
     here = _prints(regions.select("id", "hash", "start", "words"), span, size, ["id", "hash", "start"])
-    route = here.join(there, "print").filter("least < id").select("id", "hash", "start", "shard").distinct()
-    stream = regions.join(cut(route), ["id", "hash", "start"])
-    load = cut(stream.groupBy("shard").agg(F.ceil(F.sum(F.size("words")) / STREAM).alias("parts")))
-    stream = stream.join(if_small(load), "shard").join(if_small(first, MARKS), "id", "left")
-    stream = stream.select("shard", F.pmod(F.xxhash64("id", "start"), F.col("parts")).alias("part"), "id", "hash", "start", "words", "first")
-    copies = passages.join(if_small(load), "shard").select(
-        F.col("shard").alias("s"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p"), F.col("words").alias("passage")
+    route = cut(here.join(there, "print").filter("least < id").select("id", "hash", "start", "shard").distinct())
+    stream = regions.join(if_small(route, 3 * MARKS), ["id", "hash", "start"])
+    # A row a shard.
+    load = if_small(cut(stream.groupBy("shard").agg(F.ceil(F.sum(F.size("words")) / STREAM).alias("parts"))))
+    stream = stream.join(load, "shard").select(
+        "shard", F.pmod(F.xxhash64("id", "start"), F.col("parts")).alias("part"), "id", "hash", "start", "words", "owned"
     )
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p")
+    reference = passages.join(load, "shard").select(F.col("shard").alias("s"), every, F.col("words").alias("passage"))
 
     def match(key, rows: pd.DataFrame, reference: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(reference):
@@ -268,18 +314,19 @@ def spans(docs: DataFrame, span: int = SPAN, size: int = PRINT) -> DataFrame:
         low = np.int64((1 << 63) - 1)
         automaton = Automaton([(np.asarray(p, dtype=np.int64) & low).tolist() for p in reference["passage"]])
         out: list[list] = [[], [], [], []]
-        for i, h, start, w, first in zip(rows["id"], rows["hash"], rows["start"], rows["words"], rows["first"]):
+        for i, h, start, w, owned in zip(rows["id"], rows["hash"], rows["start"], rows["words"], rows["owned"]):
             w = np.asarray(w, dtype=np.int64)
             begins = np.array(automaton.ends((w & low).tolist(), span), dtype=np.int64) - span + 1
-            if first is not None and len(begins):
-                begins = begins[~np.isin(windows(w.view(np.uint64), span)[begins], np.asarray(first, dtype=np.int64).view(np.uint64))]
+            begins = begins[~_bits(owned, len(w) - span + 1)[begins]]
             for a, b in _runs(begins):
                 for column, x in zip(out, (i, h, start + a, start + b + span)):
                     column.append(x)
         return pd.DataFrame(dict(zip(("id", "hash", "from", "to"), out)))
 
-    matched = stream.groupBy("shard", "part").cogroup(copies.groupBy("s", "p")).applyInPandas(match, "id long, hash long, `from` long, `to` long")
-    return matched.groupBy("id", "hash").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("spans"))
+    matched = stream.groupBy("shard", "part").cogroup(reference.groupBy("s", "p")).applyInPandas(match, "id long, hash long, `from` long, `to` long")
+    return (
+        matched.unionByName(_whole(copies, span)).groupBy("id", "hash").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("spans"))
+    )
 
 
 def remove(text: str, ranges: list[tuple[int, int]]) -> str:
