@@ -297,6 +297,18 @@ def label(model: Labeller, pages: list[list[Block]]) -> list[np.ndarray]:
     return out
 
 
+def _sample(pages: DataFrame, column: str, most: int = TRAIN_PAGES) -> list[str]:
+    """The ``most`` pages of the least hashes. Partitions send only pages below a bound that about three times as many pass."""
+    hashed = pages.select(F.xxhash64(column).alias("h"), column).filter(f"`{column}` is not null")
+    share = min(1.0, 3 * most / max(1, pages.count()))
+    while True:
+        low = hashed if share == 1 else hashed.filter(F.col("h") < int(share * 2**64) - 2**63)
+        found = low.orderBy("h").limit(most).collect()
+        if len(found) == most or share == 1:
+            return [r[column] for r in found]
+        share = min(1.0, 8 * share)
+
+
 def extract(pages: DataFrame, keep: float = KEEP, column: str = "html") -> DataFrame:
     """``pages`` without ``column`` and with text (content blocks, one a line), n_blocks and n_content.
 
@@ -306,8 +318,7 @@ def extract(pages: DataFrame, keep: float = KEEP, column: str = "html") -> DataF
     names are replaced. Equal pages give equal texts. The model is trained on
     TRAIN_PAGES pages at most, which are of the least hashes of all of them.
     """
-    sample = pages.select(F.xxhash64(column).alias("h"), column).filter(f"`{column}` is not null").orderBy("h").limit(TRAIN_PAGES)
-    model = train([r[column] for r in sample.collect()])
+    model = train(_sample(pages, column))
     bound = pages.sparkSession.sparkContext.broadcast(model)
     kept = [f for f in pages.schema.fields if f.name not in (column, "text", "n_blocks", "n_content")]
     schema = pages.select(*[f"`{f.name}`" for f in kept]).schema.add("text", T.StringType()).add("n_blocks", T.IntegerType()).add("n_content", T.IntegerType())

@@ -72,3 +72,12 @@ def test_odd_rows(spark):
     assert [r.text for r in rows if r.page_id == 2] == [""]
     assert len({r.text for r in rows if r.page_id == 3}) == 1 and len(rows) == 6
     assert h.extract(df.limit(0)).count() == 0
+
+
+def test_sample_is_of_the_least_hashes(spark):
+    pages = spark.read.parquet(f"{DATA}/sf0.1/pages.parquet")
+    want = [r.html for r in pages.selectExpr("html", "xxhash64(html) h").orderBy("h").limit(50).collect()]
+    assert h._sample(pages, "html", 50) == want
+    copies = spark.range(3000).selectExpr("'<p>same' html")
+    assert h._sample(copies, "html", 20) == ["<p>same"] * 20
+    assert h._sample(copies.limit(5), "html", 20) == ["<p>same"] * 5 and h._sample(copies.limit(0), "html") == []
