@@ -25,10 +25,10 @@ from lamina.llm.common import documents
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits text into the pieces inside which symbols merge.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words whose ids a worker remembers; a full memory is emptied, so this bounds memory, not results.
-REMEMBERED = 800_000
+#: Words whose ids a worker remembers. Half of them make a generation; words not met for one are forgotten, so this bounds memory, not results.
+REMEMBERED = 500_000
 #: Bytes of text to encode before a batch of results is handed on.
-BATCH = 4 << 20
+BATCH = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -50,6 +50,7 @@ class Bpe:
         }
         self.pattern = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.awkward = re.compile(r" \s| $")
 
     def merge(self, piece: bytes) -> list[int]:
@@ -78,15 +79,17 @@ class Bpe:
         return [s for s in symbol if s >= 0]
 
     def _word(self, word: str) -> bytes:
-        if word[-1:] in (".", ",") and word[1:-1].isalpha() and (word[0] == " " or word[0].isalpha()):
+        if (ids := self.before.get(word)) is not None:
+            pass
+        elif word[-1:] in (".", ",") and word[1:-1].isalpha() and (word[0] == " " or word[0].isalpha()):
             bare = word[:-1]
             ids = (self.known.get(bare) or self._word(bare)) + (self.known.get(word[-1]) or self._word(word[-1]))
         else:
             plain = word[1:].isalpha() and (word[0] == " " or word[0].isalpha())
             pieces = (word,) if plain else self.pattern.findall(word)
             ids = array("i", chain.from_iterable([self.merge(p.encode("utf-8")) for p in pieces])).tobytes()
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
+        if len(self.known) >= REMEMBERED // 2:
+            self.before, self.known = self.known, {}
         self.known[word] = ids
         return ids
 
