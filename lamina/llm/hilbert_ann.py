@@ -2,25 +2,37 @@
 
 Vectors are scaled to unit length and rotated at random. Each curve takes a few
 of the rotated coordinates, shifts them at random and orders the vectors by
-their place on a Hilbert curve. Spark range-partitions that order; blocks of
-BLOCK consecutive vectors are compared with themselves and with the next block
-on either side, and each vector's best neighbours of all curves are merged and
-ranked by their similarity. The work is CURVES * 3 * BLOCK comparisons a vector,
-whatever the number of vectors.
+their place on a Hilbert curve. Spark range-partitions that order; its blocks
+are compared with themselves and with those within reach on either side, and
+each vector's best neighbours of all curves are merged and ranked by their
+similarity.
+
+How many curves and how far they reach comes from the table: the exact
+neighbours of PROBES random vectors, and how far apart each curve has them,
+tell the recall of every choice. The cheapest that keeps RECALL is taken. All
+pairs are one of the choices, so there always is one; it is the cheapest for
+small tables, and for large ones whose vectors have no structure a curve could
+follow.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.llm.common import cut, drop
 
 K = 10
-#: Curves, coordinates each takes, bits of a coordinate on the curve (together 63 at most), vectors in a block.
-CURVES, AXES, BITS, BLOCK = 12, 6, 10, 4096
+#: Curves at most, coordinates each takes, bits of a coordinate on the curve (together 63 at most), vectors in a block at least and at most.
+CURVES, AXES, BITS, BLOCK, LARGEST = 24, 6, 10, 4096, 32_768
+#: Recall to keep on the probes (0.9 is wanted of the table), probes, and vectors that tell how many lie between two places.
+RECALL, PROBES, SAMPLE = 0.93, 200, 20_000
+#: Comparisons that cost as much as one more copy of a vector.
+COPY = 3000
 SEED = 7
 
 
@@ -76,6 +88,96 @@ def _units(column: pd.Series, d: int) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
+def between(keys: np.ndarray, ids: np.ndarray, sample: np.ndarray) -> np.ndarray:
+    """The share of the sample that is before each row in a curve's order."""
+    order = np.lexsort((ids, keys))
+    out = np.empty(len(keys))
+    out[order] = np.cumsum(sample[order]) - sample[order] / 2
+    return out / max(1, sample.sum())
+
+
+def choose(gaps: np.ndarray, n: int, block: int, recall: float = RECALL) -> tuple[int, int, int, float]:
+    """(curves, block, reach in blocks, expected recall): the cheapest that keeps ``recall``.
+
+    gaps has a row for each probe and neighbour, and a column for each curve: how many of the n vectors are between them.
+    """
+    size = min(n, LARGEST, max(block, n // 16))
+    reach = max(1, math.ceil(n / size) - 1)
+    best = (n + COPY * (reach + 3), 1, size, reach, 1.0)
+    counts = sorted({gaps.shape[1], *[c for c in (1, 2, 3, 6, 12) if c < gaps.shape[1]]})
+    span = float(block)
+    while span < n:
+        size = min(int(span), LARGEST)
+        reach = math.ceil(span / size)
+        missed = np.cumprod(1 - np.clip(reach + 1 - gaps / size, 0, 1), axis=1)
+        for c in counts:
+            cost = c * (min(n, (2 * reach + 1) * size) + COPY * (2 * reach + 2))
+            kept = 1 - float(missed[:, c - 1].mean())
+            if kept >= recall and cost < best[0]:
+                best = (cost, c, size, reach, kept)
+        span *= 1.25
+    return best[1:]
+
+
+def _probe(good: DataFrame, n: int, d: int, k: int, curves: int, axes: int, block: int, seed: int, bits: int) -> tuple[int, int, int, float]:
+    """What ``choose`` says of the table ``good``."""
+    sample = good.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max(PROBES, min(SAMPLE, 10_000_000 // d))).toPandas()
+    ids, unit = sample["id"].to_numpy(), _units(sample["v"], d)
+    asked = good.sparkSession.sparkContext.broadcast((ids[:PROBES], unit[:PROBES]))
+
+    def scan(batches):
+        own, probes = asked.value
+        held = None
+        for pdf in batches:
+            x = _units(pdf["v"], d)
+            sim = np.round(probes @ x.T, 6)
+            sim[own[:, None] == pdf["id"].to_numpy()[None, :]] = -2
+            top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+            p, c = np.repeat(np.arange(len(own)), top.shape[1]), top.ravel()
+            rows = pd.DataFrame({"probe": p, "id": pdf["id"].to_numpy()[c], "s": sim[p, c], "v": list(x[c])})
+            held = rows if held is None else pd.concat([held, rows])
+            held = held[held["s"] > -2].sort_values(["probe", "s", "id"], ascending=[True, False, True]).groupby("probe").head(k)
+        if held is not None:
+            yield held
+
+    found = good.mapInPandas(scan, "probe int, id long, s double, v array<double>")
+    nth = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("s"), "id"))
+    true = found.withColumn("nth", nth).filter(F.col("nth") <= k).toPandas()
+    keys = np.concatenate([curve_keys(unit, seed, curves, axes, bits), curve_keys(_units(true["v"], d), seed, curves, axes, bits)])
+    every, sampled = np.concatenate([ids, true["id"].to_numpy()]), np.arange(len(keys)) < len(ids)
+    gaps = np.empty((len(true), curves))
+    for c in range(curves):
+        at = between(keys[:, c], every, sampled)
+        gaps[:, c] = np.abs(at[len(ids) :] - at[true["probe"].to_numpy()]) * n
+    return choose(gaps, n, block)
+
+
+def _best(ids: np.ndarray, x: np.ndarray, other_ids: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, neighbour, similarity): the best ``k`` of the others for each row, not itself. Single precision sorts out, double decides."""
+    x32, y32 = x.astype(np.float32), y.astype(np.float32).T.copy()
+    slack = np.float32(2e-6 + 2.4e-7 * x.shape[1])
+    m = min(k + 1, len(other_ids))
+    out = [[], [], []]
+    step = max(1, 4_000_000 // max(1, len(other_ids)))
+    for a in range(0, len(ids) if m else 0, step):
+        sim = x32[a : a + step] @ y32
+        least = np.partition(sim, len(other_ids) - m, axis=1)[:, len(other_ids) - m][:, None]
+        r, c = np.nonzero(sim >= least - slack)
+        r += a
+        other = ids[r] != other_ids[c]
+        r, c = r[other], c[other]
+        s = np.empty(len(r))
+        for i in range(0, len(r), 100_000):
+            s[i : i + 100_000] = np.einsum("ij,ij->i", x[r[i : i + 100_000]], y[c[i : i + 100_000]])
+        s = np.round(s, 6) + 0.0
+        by = np.lexsort((other_ids[c], -s, r))
+        r, c, s = r[by], c[by], s[by]
+        keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+        for column, v in zip(out, (ids[r[keep]], other_ids[c[keep]], s[keep])):
+            column.append(v)
+    return tuple(np.concatenate([np.zeros(0, t), *column]) for t, column in zip((np.int64, np.int64, np.float64), out))
+
+
 def nearest(vectors: DataFrame, k: int = K, curves: int = CURVES, axes: int = AXES, block: int = BLOCK, seed: int = SEED, bits: int = BITS) -> DataFrame:
     """(vec_id, rank, neighbour, similarity): ``k`` neighbours of every vector by cosine, to 6 places.
 
@@ -83,24 +185,27 @@ def nearest(vectors: DataFrame, k: int = K, curves: int = CURVES, axes: int = AX
     vectors of other ids are neighbours. Rows of a null vec_id, a null, empty or
     non-finite vector, or another length than most have neither neighbours nor
     place among them; of rows that share a vec_id one counts. A vector of zeros
-    is at similarity 0 to all. Other columns are ignored. Up to ``block``
-    vectors, the result is exact.
+    is at similarity 0 to all. Other columns are ignored. ``curves`` is the most
+    to use, ``block`` the least; up to ``block`` vectors, the result is exact.
     """
-    good = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).filter("id is not null and size(v) > 0")
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    good = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast(kind).alias("v")).filter("id is not null and size(v) > 0")
     good = good.filter(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
     lengths = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     shape = "id long, rank int, neighbour long, similarity double"
     if lengths is None:
         return vectors.sparkSession.createDataFrame([], shape.replace("id", "vec_id", 1))
     d = lengths["d"]
-    good = good.filter(F.size("v") == d).groupBy("id").agg(F.min("v").alias("v"))
+    good = cut(good.filter(F.size("v") == d).groupBy("id").agg(F.min("v").alias("v")))
+    n = good.count()
+    curves, block, reach, _ = _probe(good, n, d, k, curves, axes, block, seed, bits) if n > block else (1, n, 1, 1.0)
 
     def place(batches):
         for pdf in batches:
             unit = _units(pdf["v"], d)
             keys = curve_keys(unit, seed, curves, axes, bits)
             for c in range(curves):
-                yield pd.DataFrame({"curve": c, "place": keys[:, c], "id": pdf["id"], "v": list(unit)})
+                yield pd.DataFrame({"curve": c, "place": keys[:, c], "id": pdf["id"], "v": pdf["v"]})
 
     def number(batches):
         from pyspark import TaskContext
@@ -112,9 +217,9 @@ def nearest(vectors: DataFrame, k: int = K, curves: int = CURVES, axes: int = AX
                 at[c] = at.get(c, 0) + n
             yield pd.DataFrame({"curve": pdf["curve"], "id": pdf["id"], "v": pdf["v"], "part": part, "nth": nth.astype("int64")})
 
-    placed = good.mapInPandas(place, "curve int, place long, id long, v array<double>")
+    placed = good.mapInPandas(place, f"curve int, place long, id long, v {kind}")
     placed = placed.repartitionByRange("curve", "place", "id").sortWithinPartitions("curve", "place", "id")
-    ordered = cut(placed.mapInPandas(number, "curve int, id long, v array<double>, part int, nth long"))
+    ordered = cut(placed.mapInPandas(number, f"curve int, id long, v {kind}, part int, nth long"))
     # A few numbers for each partition of each curve.
     counts = ordered.groupBy("curve", "part").agg(F.count("*").alias("n")).orderBy("curve", "part").collect()
     before: list[tuple[int, int, int]] = []
@@ -124,39 +229,24 @@ def nearest(vectors: DataFrame, k: int = K, curves: int = CURVES, axes: int = AX
         run[r["curve"]] = run.get(r["curve"], 0) + r["n"]
     first = vectors.sparkSession.createDataFrame(before, "curve int, part int, first long")
     blocked = ordered.join(F.broadcast(first), ["curve", "part"]).withColumn("home", F.expr(f"(first + nth) div {block}"))
-    spread = blocked.select("curve", "id", "v", "home", F.explode(F.array(F.col("home") - 1, F.col("home"), F.col("home") + 1)).alias("block"))
+    # Group (home, step) has a block and the one so many steps on; the first step's also compares the block with itself.
+    groups = F.expr(
+        "concat(transform(filter(sequence(1, {reach}), s -> s = 1 or home + s <= {last}), s -> struct(home as home, s as step, false as on)), "
+        "transform(filter(sequence(1, {reach}), s -> home >= s), s -> struct(home - s as home, s as step, true as on)))".format(reach=reach, last=(n - 1) // block)
+    )
+    spread = blocked.select("curve", "id", "v", F.explode(groups).alias("g")).select("curve", "g.*", "id", "v")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, x = pdf["id"].to_numpy(), np.array(pdf["v"].tolist(), dtype=np.float64).reshape(-1, d)
-        own = np.flatnonzero((pdf["home"] == pdf["block"]).to_numpy())
-        order = np.argsort(ids)
-        ids, x = ids[order], x[order]
-        place_of = np.argsort(order)
-        out = [[], [], []]
-        for a in range(0, len(own), 512):
-            rows = place_of[own[a : a + 512]]
-            sim = np.round(x[rows] @ x.T, 6) + 0.0
-            sim[np.arange(len(rows)), rows] = -2
-            m = min(k, len(ids) - 1)
-            if m < 1:
-                continue
-            least = np.partition(sim, len(ids) - m, axis=1)[:, len(ids) - m][:, None]
-            r, c = np.nonzero((sim >= least) & (sim > -2))
-            s = sim[r, c]
-            by = np.lexsort((c, -s, r))  # ids are sorted, so ties go by c
-            r, c, s = r[by], c[by], s[by]
-            nth = np.arange(len(r)) - np.searchsorted(r, r)
-            keep = nth < m
-            for column, v in zip(out, (ids[rows[r[keep]]], ids[c[keep]], s[keep])):
-                column.append(v)
-        if not out[0]:
-            return pd.DataFrame({"id": np.zeros(0, np.int64), "neighbour": np.zeros(0, np.int64), "similarity": np.zeros(0)})
-        return pd.DataFrame({"id": np.concatenate(out[0]), "neighbour": np.concatenate(out[1]), "similarity": np.concatenate(out[2])})
-
-    found = spread.groupBy("curve", "block").applyInPandas(compare, "id long, neighbour long, similarity double")
+        ids, x, on = pdf["id"].to_numpy(), _units(pdf["v"], d), pdf["on"].to_numpy(bool)
+        inner = slice(None) if pdf["step"].iat[0] == 1 else on
+        parts = [_best(ids[~on], x[~on], ids[inner], x[inner], k), _best(ids[on], x[on], ids[~on], x[~on], k)]
+        return pd.DataFrame({name: np.concatenate(c) for name, c in zip(("id", "neighbour", "similarity"), zip(*parts))})
+
+    found = spread.groupBy("curve", "home", "step").applyInPandas(compare, "id long, neighbour long, similarity double")
     best = F.sort_array(F.collect_set(F.struct((-F.col("similarity")).alias("s"), F.col("neighbour").alias("n"))))
     merged = cut(found.groupBy("id").agg(F.slice(best, 1, k).alias("best")))
     drop(ordered)
+    drop(good)
     return merged.select(F.col("id").alias("vec_id"), F.posexplode("best").alias("rank", "b")).select(
         "vec_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.n").alias("neighbour"), (-F.col("b.s") + F.lit(0.0)).alias("similarity")
     )

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from conftest import DATA
 
-from lamina.llm.hilbert_ann import hilbert, nearest
+from lamina.llm import hilbert_ann
+from lamina.llm.hilbert_ann import choose, hilbert, nearest
 
 SHAPE = "vec_id long, embedding array<float>"
 
@@ -61,3 +62,32 @@ def test_odd_rows(spark):
 def test_ties_go_to_the_smaller_id(spark, k):
     rows = [(i, [1.0, 1.0]) for i in range(8)]
     assert found(nearest(spark.createDataFrame(rows, SHAPE), k=k)) == {i: [j for j in range(8) if j != i][:k] for i in range(8)}
+
+
+@pytest.mark.parametrize("pairs", [True, False])
+def test_recall_of_tiny_blocks(spark, monkeypatch, pairs):
+    """Blocks of 0.1 % of the table, in vectors without structure: the reach must grow with the table. Once with all pairs ruled out."""
+    monkeypatch.setattr(hilbert_ann, "COPY", 0)
+    if not pairs:
+        monkeypatch.setattr(hilbert_ann, "choose", lambda gaps, n, block: choose(gaps, 10 * n, block)[:3] + (0,))
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((6_000, 64)).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], SHAPE)
+    got = found(nearest(table, block=6))
+    ids, some = np.arange(len(x)), rng.choice(len(x), 300, replace=False)
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    sim = np.round(unit[some] @ unit.T, 6)
+    sim[np.arange(len(some)), some] = -2
+    want = [set(np.lexsort((ids, -s))[:10].tolist()) for s in sim]
+    recall = np.mean([len(w & set(got[i])) / 10 for i, w in zip(some.tolist(), want)])
+    assert len(got) == len(x) and recall >= 0.9, recall
+
+
+def test_settings_keep_the_recall_at_every_size():
+    rng = np.random.default_rng(1)
+    for n in (10_000, 1_000_000, 100_000_000):
+        gaps = np.abs(rng.random((500, 24)) - rng.random((500, 24))) * n / 4
+        curves, block, reach, kept = choose(gaps, n, 4096)
+        covered = np.clip(reach + 1 - gaps[:, :curves] / block, 0, 1)
+        assert kept >= hilbert_ann.RECALL and block <= hilbert_ann.LARGEST
+        assert kept == 1.0 and block * (reach + 1) >= n or 1 - np.prod(1 - covered, axis=1).mean() == pytest.approx(kept)
