@@ -9,8 +9,9 @@ t's occurrences, a term discloses
     PMI(t, c) / IC(c) = 1 + log p(c|t) / -log p(c)
 
 of the class, where p(c|t) is the lower bound of its confidence interval, so
-that chance meetings don't count. Near an entity, terms over GENERALISE are
-replaced by their kind, and terms over REMOVE are removed.
+that chance meetings don't count. Wherever they are, in documents without
+entities too, terms over GENERALISE are replaced by their kind, and terms over
+REMOVE are removed; the window only serves to estimate.
 """
 
 from __future__ import annotations
@@ -55,6 +56,11 @@ _KEYS = ("passw", "pwd", "secret", "token", "key", "auth")
 _WORD = re.compile(r"\w+")
 
 
+def _terms(text: str) -> Iterator[str]:
+    """The words of a text in lower case. Lower case comes last: it can split words and depends on what follows them."""
+    return iter(_WORD.findall(text.lower())) if text.isascii() else map(str.lower, _WORD.findall(text))
+
+
 def entities(text: str) -> list[tuple[int, int, str]]:
     """(from, to, class) of each protected entity, leftmost first, without overlaps."""
     if not any(h in text for h in _HINTS):
@@ -154,18 +160,33 @@ def terms(docs: DataFrame) -> dict[tuple[str, str], float]:
     return out
 
 
-def sanitise(text: str, known: dict[tuple[str, str], float]) -> tuple[str, int, int]:
-    """The text with entities and disclosing terms replaced, and how many of each there were."""
+def strongest(known: dict[tuple[str, str], float]) -> dict[str, float]:
+    """Each term's disclosure of the class that it discloses most."""
+    out: dict[str, float] = {}
+    for (term, _), d in known.items():
+        out[term] = max(d, out.get(term, d))
+    return out
+
+
+def sanitise(text: str, known: dict[str, float]) -> tuple[str, int, int]:
+    """The text with entities and the terms of ``known`` replaced, and how many of each there were."""
     found = entities(text)
-    if not found:
-        return text, 0, 0
     changes = [(a, b, f"[{c}]") for a, b, c in found]
-    for a, b, term, classes in _near(text, found):
-        d = max((known.get((term, c), 0.0) for c in classes), default=0.0)
-        if d >= GENERALISE:
-            word = text[a:b]
+    if known and not known.keys().isdisjoint(_terms(text)):
+        at = 0
+        for m in _WORD.finditer(text):
+            word, (a, b) = m.group(), m.span()
+            d = known.get(word.lower(), 0.0)
+            if d < GENERALISE:
+                continue
+            while at < len(found) and found[at][1] <= a:
+                at += 1
+            if at < len(found) and found[at][0] < b:
+                continue
             kind = "NUMBER" if word.isdigit() else "NAME" if word[:1].isupper() else "WORD"
             changes.append((a, b, "" if d >= REMOVE else f"[{kind}]"))
+    if not changes:
+        return text, 0, 0
     out, at = [], 0
     for a, b, new in sorted(changes):
         out += [text[at:a], new]
@@ -177,11 +198,11 @@ def sanitised(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` sanitised, and n_entities and n_terms, how many were replaced.
 
     Rows and other columns stay, but those of the added names are replaced.
-    Documents without entities stay as they are. Null texts stay null, with 0 of
+    Documents without entities and disclosing terms stay as they are. Null texts stay null, with 0 of
     each; equal texts become equal.
     """
     docs = docs.drop("n_entities", "n_terms")
-    known = docs.sparkSession.sparkContext.broadcast(terms(docs))
+    known = docs.sparkSession.sparkContext.broadcast(strongest(terms(docs)))
     shape = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_entities", T.IntegerType()), T.StructField("n_terms", T.IntegerType())])
 
     @F.pandas_udf(shape)

@@ -81,3 +81,15 @@ def test_odd_rows(spark):
     assert [r.text for r in rows if r.doc_id is None] == ["mail [EMAIL]"] * 2
     assert pii.sanitised(df.limit(0)).count() == 0
     assert [m.group() for m in pii._before("start " + "y" * 900 + " a b c d ", 914)] == ["y" * 900, "a", "b", "c", "d"]
+
+
+def test_terms_go_wherever_they_are(spark):
+    """Six words from the entity, and in documents without one."""
+    rows = [(i, f"Zanthor box{i}@mail.example.com for the record") for i in range(60)]
+    rows += [(100 + i, "the report for the record reached me at noon " * 5) for i in range(300)]
+    rows += [(1000, "yesterday Zanthor came by"), (1001, "box@mail.example.com for the record me at noon the report, Zanthor")]
+    out = {r.doc_id: r for r in pii.sanitised(spark.createDataFrame(rows, SHAPE)).collect()}
+    assert not [r for r in out.values() if "Zanthor" in r.text]
+    assert (out[1000].n_entities, out[1000].n_terms) == (0, 1) and out[1001].n_terms == 1
+    assert out[100].text == rows[60][1]
+    assert pii.sanitise("mail zan@mail.example.com, zan", {"zan": 0.8}) == ("mail [EMAIL], [WORD]", 1, 1)
