@@ -16,6 +16,7 @@ REMOVE are removed; the window only serves to estimate.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -31,7 +32,7 @@ from lamina.llm.common import cut, documents
 #: Words on either side of an entity that count as near it.
 NEAR = 5
 #: Disclosure from which a term is generalised, or removed; meetings it must have; deviations of the interval.
-GENERALISE, REMOVE, MEETINGS, DEVIATIONS = 0.75, 0.9, 5, 2.58
+GENERALISE, REMOVE, MEETINGS, DEVIATIONS = 0.75, 0.9, 2, 2.58
 #: Terms that workers get to know; more candidates are counted by a join instead.
 TERMS = 2_000_000
 
@@ -113,27 +114,37 @@ def disclosure(meetings: int, count: int, near: int, words: int) -> float:
     return 1 + math.log(max(low, 1e-12)) / -math.log(near / words)
 
 
-def terms(docs: DataFrame) -> dict[tuple[str, str], float]:
-    """(term, class) to its disclosure, of those over GENERALISE, counted over all documents."""
+def terms(docs: DataFrame, copies: bool = True) -> dict[tuple[str, str], float]:
+    """(term, class) to its disclosure, of those over GENERALISE, counted over all documents.
+
+    Without ``copies``, terms that meet the class once in one text, however many
+    copies of it there are, are left out.
+    """
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            count: Counter = Counter()
+            count: dict[tuple[str, str], list[int]] = {}
+            words = 0
             for text in pdf["text"]:
                 if not text:
                     continue
-                count["", ""] += len(text.split())
+                words += len(text.split())
                 found = entities(text)
-                for _, _, term, classes in _near(text, found) if found else ():
-                    for c in classes:
-                        count[term, c] += 1
-            yield pd.DataFrame([(t, c, n) for (t, c), n in count.items()], columns=["term", "class", "n"])
+                here = Counter((term, c) for _, _, term, classes in _near(text, found) for c in classes) if found else {}
+                name = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True) if here else 0
+                for key, n in here.items():
+                    now = count.setdefault(key, [0, 0, name, name])
+                    now[:] = now[0] + n, max(now[1], n), min(now[2], name), max(now[3], name)
+            yield pd.DataFrame([("", "", words, 0, 0, 0), *[(*k, *v) for k, v in count.items()]], columns=["term", "class", "n", "most", "low", "high"])
 
     text = docs.select("text").filter("text is not null")
-    met = cut(text.mapInPandas(meet, "term string, class string, n long").groupBy("term", "class").agg(F.sum("n").alias("n")))
+    shape = "term string, class string, n long, most long, low long, high long"
+    totals = [F.sum("n").alias("n"), F.max("most").alias("most"), F.min("low").alias("low"), F.max("high").alias("high")]
+    met = cut(text.mapInPandas(meet, shape).groupBy("term", "class").agg(*totals))
     words = (met.filter("class = ''").agg(F.sum("n")).first()[0]) or 0
     near = {r[0]: r[1] for r in met.filter("class <> ''").groupBy("class").agg(F.sum("n")).collect()}
     often = met.filter(f"class <> '' and n >= {MEETINGS}")
+    often = (often if copies else often.filter("most > 1 or low <> high")).select("term", "class", "n")
     names = often.select("term").distinct()
     if names.count() <= TERMS:
         known = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in names.collect()))
@@ -202,7 +213,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     each; equal texts become equal.
     """
     docs = docs.drop("n_entities", "n_terms")
-    known = docs.sparkSession.sparkContext.broadcast(strongest(terms(docs)))
+    known = docs.sparkSession.sparkContext.broadcast(strongest(terms(docs, copies=False)))
     shape = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_entities", T.IntegerType()), T.StructField("n_terms", T.IntegerType())])
 
     @F.pandas_udf(shape)

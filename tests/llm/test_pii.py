@@ -93,3 +93,10 @@ def test_terms_go_wherever_they_are(spark):
     assert (out[1000].n_entities, out[1000].n_terms) == (0, 1) and out[1001].n_terms == 1
     assert out[100].text == rows[60][1]
     assert pii.sanitise("mail zan@mail.example.com, zan", {"zan": 0.8}) == ("mail [EMAIL], [WORD]", 1, 1)
+
+
+def test_few_meetings_can_disclose(spark):
+    rows = [(i, f"ask Quillon at quillon@mail.example.com please {i}") for i in range(2)]
+    rows += [(100 + i, "ask at the desk please 0 or 1 and the report for the record reached me at noon " * 20) for i in range(300)]
+    out = {r.doc_id: r for r in pii.sanitised(spark.createDataFrame(rows, SHAPE)).collect()}
+    assert out[0].text == "ask [NAME] at [EMAIL] please 0" and out[100].text == rows[2][1]
