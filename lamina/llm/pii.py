@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamina.llm.common import cut, documents
+from lamina.llm.common import cut, documents, drop
 
 #: Words on either side of an entity that count as near it.
 NEAR = 5
 #: Disclosure from which a term is generalised, or removed; meetings it must have; deviations of the interval.
 GENERALISE, REMOVE, MEETINGS, DEVIATIONS = 0.75, 0.9, 2, 2.58
-#: Terms that workers get to know; more candidates are counted by a join instead.
+#: Terms that workers get to know; more are counted and looked up by joins instead, with the same words.
 TERMS = 2_000_000
 
 _ENTITIES = [
@@ -114,8 +114,8 @@ def disclosure(meetings: int, count: int, near: int, words: int) -> float:
     return 1 + math.log(max(low, 1e-12)) / -math.log(near / words)
 
 
-def terms(docs: DataFrame, copies: bool = True) -> dict[tuple[str, str], float]:
-    """(term, class) to its disclosure, of those over GENERALISE, counted over all documents.
+def disclosing(docs: DataFrame, copies: bool = True) -> DataFrame:
+    """(term, class, d): the disclosure of terms over GENERALISE, counted over all documents. A cut.
 
     Without ``copies``, terms that meet the class once in one text, however many
     copies of it there are, are left out.
@@ -146,37 +146,31 @@ def terms(docs: DataFrame, copies: bool = True) -> dict[tuple[str, str], float]:
     often = met.filter(f"class <> '' and n >= {MEETINGS}")
     often = (often if copies else often.filter("most > 1 or low <> high")).select("term", "class", "n")
     names = often.select("term").distinct()
+    known = None
     if names.count() <= TERMS:
         known = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in names.collect()))
 
-        def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            here = known.value.__contains__
-            for pdf in batches:
-                count: Counter = Counter()
-                for text in pdf["text"]:
-                    count.update(filter(here, _WORD.findall(text.lower())))
-                yield pd.DataFrame(list(count.items()), columns=["term", "total"])
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            count: Counter = Counter()
+            for text in pdf["text"]:
+                count.update(filter(known.value.__contains__, _terms(text)) if known else _terms(text))
+            yield pd.DataFrame(list(count.items()), columns=["term", "total"])
 
-        totals = text.mapInPandas(tally, "term string, total long").groupBy("term").agg(F.sum("total").alias("total"))
-    else:
-        every = text.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0))).alias("term"))
-        totals = every.groupBy("term").agg(F.count("*").alias("total"))
-    out = {}
-    for r in often.join(totals, "term").collect():
-        d = disclosure(r["n"], r["total"], near[r["class"]], words)
-        if d >= GENERALISE:
-            out[r["term"], r["class"]] = d
-    if len(out) > TERMS:
-        raise ValueError(f"{len(out)} disclosing terms; raise MEETINGS to have fewer")
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf["d"] = [disclosure(n, total, near[c], words) for n, total, c in zip(pdf["n"].tolist(), pdf["total"].tolist(), pdf["class"])]
+            yield pdf.loc[pdf["d"] >= GENERALISE, ["term", "class", "d"]]
+
+    totals = text.mapInPandas(tally, "term string, total long").groupBy("term").agg(F.sum("total").alias("total"))
+    out = cut(often.join(totals, "term").mapInPandas(judge, "term string, class string, d double"))
+    drop(met)
     return out
 
 
-def strongest(known: dict[tuple[str, str], float]) -> dict[str, float]:
-    """Each term's disclosure of the class that it discloses most."""
-    out: dict[str, float] = {}
-    for (term, _), d in known.items():
-        out[term] = max(d, out.get(term, d))
-    return out
+def terms(docs: DataFrame) -> dict[tuple[str, str], float]:
+    """(term, class) to its disclosure, of those over GENERALISE."""
+    return {(r["term"], r["class"]): r["d"] for r in disclosing(docs).collect()}
 
 
 def sanitise(text: str, known: dict[str, float]) -> tuple[str, int, int]:
@@ -213,15 +207,38 @@ def sanitised(docs: DataFrame) -> DataFrame:
     each; equal texts become equal.
     """
     docs = docs.drop("n_entities", "n_terms")
-    known = docs.sparkSession.sparkContext.broadcast(strongest(terms(docs, copies=False)))
+    strong = cut(disclosing(docs, copies=False).groupBy("term").agg(F.max("d").alias("d")))
     shape = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_entities", T.IntegerType()), T.StructField("n_terms", T.IntegerType())])
 
-    @F.pandas_udf(shape)
-    def clean(text: pd.Series) -> pd.DataFrame:
-        rows = [(None, 0, 0) if t is None else sanitise(t, known.value) for t in text]
+    def table(rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=shape.names).astype({"text": object})
 
-    done = docs.withColumn("__lamina", clean("text"))
+    if strong.count() <= TERMS:
+        known = docs.sparkSession.sparkContext.broadcast({r["term"]: r["d"] for r in strong.collect()})
+
+        @F.pandas_udf(shape)
+        def clean(text: pd.Series) -> pd.DataFrame:
+            return table([(None, 0, 0) if t is None else sanitise(t, known.value) for t in text])
+
+        done = docs.withColumn("__lamina", clean("text"))
+    else:
+
+        @F.pandas_udf(shape)
+        def clean_by(text: pd.Series, term: pd.Series, d: pd.Series) -> pd.DataFrame:
+            given = [{} if x is None else dict(zip(x, y)) for x, y in zip(term, d)]
+            return table([(None, 0, 0) if t is None else sanitise(t, k) for t, k in zip(text, given)])
+
+        def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for i in range(0, len(pdf), 100):
+                    rows = [(k, w) for k, t in zip(pdf["key"][i : i + 100], pdf["text"][i : i + 100]) for w in set(_terms(t))]
+                    yield pd.DataFrame(rows, columns=["key", "term"])
+
+        key = F.sha2("text", 256)
+        spelled = docs.filter("text is not null").select(key.alias("key"), "text").mapInPandas(spell, "key string, term string")
+        mine = spelled.join(strong, "term").distinct().groupBy("key").agg(F.collect_list(F.struct("term", "d")).alias("t"))
+        mine = mine.select(F.col("key").alias("__lamina_key"), F.col("t.term").alias("__lamina_term"), F.col("t.d").alias("__lamina_d"))
+        done = docs.join(mine, key == F.col("__lamina_key"), "left").withColumn("__lamina", clean_by("text", "__lamina_term", "__lamina_d"))
     return done.select(*[F.col("__lamina.text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], "__lamina.n_entities", "__lamina.n_terms")
 
 

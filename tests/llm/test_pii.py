@@ -100,3 +100,14 @@ def test_few_meetings_can_disclose(spark):
     rows += [(100 + i, "ask at the desk please 0 or 1 and the report for the record reached me at noon " * 20) for i in range(300)]
     out = {r.doc_id: r for r in pii.sanitised(spark.createDataFrame(rows, SHAPE)).collect()}
     assert out[0].text == "ask [NAME] at [EMAIL] please 0" and out[100].text == rows[2][1]
+
+
+def test_many_terms_give_the_same(spark, monkeypatch):
+    """Combining marks, which Java takes into words, and capitals that grow in lower case; counted and looked up by joins."""
+    rows = [(i, f"नमस्ते \u0130zan Cafe\u0301 box{i}@mail.example.com for the record") for i in range(60)]
+    rows += [(100 + i, "the report for the record reached me at noon " * 5) for i in range(300)] + [(1000, "then \u0130zan came"), (1000, "then \u0130zan came"), (1001, None)]
+    docs = spark.createDataFrame(rows, SHAPE)
+    few, terms = sorted(map(repr, pii.sanitised(docs).collect())), pii.terms(docs)
+    assert ("\u0130zan".lower(), "EMAIL") in terms and ("cafe", "EMAIL") in terms
+    monkeypatch.setattr(pii, "TERMS", 0)
+    assert sorted(map(repr, pii.sanitised(docs).collect())) == few and pii.terms(docs) == terms
