@@ -13,8 +13,9 @@ then no partner can miss every signature. Of two similar sets, the one whose
 prefix ends first in the order has all its prefix's shared n-grams in the
 other's prefix, so both have the shared signature. Groups are hash buckets
 inside a class, as many as suit the size: they keep the combinations few.
-Since partners' sizes differ by less than 2, each set is indexed for its own
-power of 2 and for the next, and pairs meet at the larger one's.
+Since partners' sizes differ by 1 / THETA at most, each set is indexed for its
+own power of 2 and for the next ones as far as that, and pairs meet at the larger
+one's.
 
 Which n-grams count as frequent changes the cost and never the result.
 
@@ -37,8 +38,8 @@ from pyspark.sql import functions as F
 from lamina.llm import tokens
 from lamina.llm.common import cut, documents, drop, if_small
 
-#: Words in an n-gram, and least Jaccard similarity. THETA must be over 0.5.
-N, THETA = 3, 0.65
+#: Words in an n-gram, and least Jaccard similarity, which is below that of edited copies. THETA must be LEAST at least: below, what groups lose could exceed a set's need.
+N, THETA, LEAST = 3, 0.5, 0.4
 #: (least number of occurrences, k): the classes of frequent n-grams.
 CLASSES = [(64, 2), (4096, 3)]
 #: Frequent n-grams that workers get to know at most, the most frequent first: 9 MB. Others count as rare, which is only slower.
@@ -122,7 +123,7 @@ def signatures(grams: np.ndarray, frequent: np.ndarray, kinds: np.ndarray, theta
     grams, kind = grams[order], kind[order]
     found = []
     own = size.bit_length() - 1
-    for power in (own, own + 1):
+    for power in range(own, own + 1 + math.ceil(math.log2(1 / theta) - 1e-9)):
         if power <= SINGLY:
             found.append(grams[:need])
             continue
@@ -397,8 +398,8 @@ def _verified(docs: DataFrame, meta: DataFrame, pairs: DataFrame, n: int, theta:
 
 def similar_sets(docs: DataFrame, meta: DataFrame, n: int = N, theta: float = THETA) -> DataFrame:
     """(a, b, jaccard), a < b: pairs of different n-gram sets, by their identities. meta: a cut of ``named``."""
-    if not 0.5 < theta <= 1:
-        raise ValueError("theta must be over 0.5 and at most 1")
+    if not LEAST <= theta <= 1:
+        raise ValueError(f"theta must be from {LEAST} to 1")
     index = _index(docs, n, theta)
     lists = index.repartition("sig").sortWithinPartitions("sig").mapInArrow(_lists, "least long, sets array<long>, sizes array<int>")
     pairs = cut(_candidates(lists, theta))

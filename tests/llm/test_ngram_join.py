@@ -122,3 +122,32 @@ def test_repeated_rows_and_null_ids(spark):
     out = [tuple(r) for r in near_dedup(spark.createDataFrame(rows, SHAPE)).collect()]
     assert sorted(out, key=repr) == sorted([(5, "a b c d"), (None, "x y z"), (7, None), (7, None)], key=repr)
     assert near_dedup(spark.createDataFrame([], SHAPE)).count() == 0
+
+
+@pytest.mark.parametrize("theta", [0.4, 0.5])
+def test_sets_of_far_sizes_meet(theta):
+    """Of pairs at the bound, of one part in the other and of equal sizes, each shares a signature, whatever is frequent."""
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        size = int(rng.integers(3, 600))
+        b = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        a = np.sort(rng.choice(b, int(np.ceil(theta * len(b))), replace=False))
+        both = int(np.ceil(2 * theta / (1 + theta) * size))
+        c = np.unique(np.concatenate([b[:both], rng.integers(0, 1 << 63, max(0, len(b) - both)).astype(np.uint64)]))
+        known = np.unique(np.concatenate([b, c]))
+        frequent = known[rng.random(len(known)) < rng.choice([0.0, 0.5, 0.9, 1.0])]
+        kinds = rng.integers(1, 3, len(frequent)).astype(np.uint8)
+        for x in (a, c):
+            shared = len(np.intersect1d(x, b))
+            if min(len(x), len(b)) > 1 and shared / (len(x) + len(b) - shared) >= theta:
+                sigs = [ngram_join.signatures(g, frequent, kinds, theta) for g in (x, b)]
+                assert len(np.intersect1d(*sigs)), (len(x), len(b))
+
+
+def test_edited_copies_are_near(spark):
+    """Every ninth word is another: two thirds of the words' trigrams stay, of Jaccard similarity 0.5."""
+    words = [f"w{i}" for i in range(2001)]
+    edited = [f"x{i}" if i % 9 == 4 else w for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(edited)), (3, "else " * 50)], SHAPE)
+    assert [(r.doc_a, r.doc_b) for r in jaccard_join(docs).collect()] == [(1, 2)]
+    assert sorted(r.doc_id for r in near_dedup(docs).collect()) == [1, 3]
