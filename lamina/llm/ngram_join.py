@@ -2,12 +2,17 @@
 
 A document is its set of word n-grams (64-bit hashes). Two sets of Jaccard
 similarity THETA or more share at least t = ceil(THETA * size) n-grams, whatever
-the partner. All n-grams have one order: rare ones first, then by hash. A
-prefix of a set is indexed by its rare n-grams singly and, within each class of
-frequent n-grams, by combinations of k of them. A combination is lost already
-when all but k - 1 of its class are, so the prefix is extended until
+the partner. All n-grams have one order: by how many different texts have them
+(in powers of 2), then by hash. So a set's prefix takes its rarest first:
 
-    rare + sum over groups of (n-grams in the group - k + 1)  >=  size - t + 1:
+- n-grams of a single text can't be shared. They fill the prefix and are never
+  indexed. A set that has size - t + 1 of them has no partner and goes no
+  further, which is most of a corpus.
+- Rare ones are indexed singly and, within each class of frequent ones,
+  combinations of k. A combination is lost already when all but k - 1 of its
+  class are, so the prefix is extended until
+
+      single + rare + sum over groups of (n-grams in the group - k + 1)  >=  size - t + 1:
 
 then no partner can miss every signature. Of two similar sets, the one whose
 prefix ends first in the order has all its prefix's shared n-grams in the
@@ -17,7 +22,12 @@ Since partners' sizes differ by 1 / THETA at most, each set is indexed for its
 own power of 2 and for the next ones as far as that, and pairs meet at the larger
 one's.
 
-Which n-grams count as frequent changes the cost and never the result.
+The counts are exact and cost one round trip of about 4 bytes an n-gram. Equal
+texts are told first and count once. The others are read in lots of LOT n-grams;
+a lot sends its sorted keys (the first bits of the hashes), as differences, to
+ranges of keys, and each range sends back those that several texts have. Keys
+that agree by chance only make an n-gram seem less rare. An n-gram of more than
+LOCAL texts of a lot is sent once for all of them, so none is too hot for a range.
 
 Candidates first meet by their parity bitmaps, which bound the similarity from
 above at a small part of a text's bytes; texts move for those that are left.
@@ -26,13 +36,14 @@ above at a small part of a text's bytes; texts move for those that are left.
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm import tokens
@@ -40,14 +51,18 @@ from lamina.llm.common import cut, documents, drop, if_small
 
 #: Words in an n-gram, and least Jaccard similarity, which is below that of edited copies. THETA must be LEAST at least: below, what groups lose could exceed a set's need.
 N, THETA, LEAST = 3, 0.5, 0.4
-#: (least number of occurrences, k): the classes of frequent n-grams.
+#: (least number of texts, a power of 2; k): the classes of frequent n-grams.
 CLASSES = [(64, 2), (4096, 3)]
-#: Frequent n-grams that workers get to know at most, the most frequent first: 9 MB. Others count as rare, which is only slower.
-FREQUENT = 1_000_000
-#: n-grams to gather before they are counted, and pairs to verify in one piece.
-GATHER, PIECE = 1 << 21, 200_000
+#: n-grams of a lot and of a range of keys; texts of a lot with the same key from which it is sent once for all.
+LOT, RANGE, LOCAL = 1 << 22, 1 << 21, 16
+#: Bits of a key beyond those that number all n-grams: one in 2**SPARE keys agrees with another by chance. And bits of a key at least and at most.
+SPARE, KEY = 10, (36, 48)
+#: Pairs to verify in one piece, and members of a list that are paired at once.
+PIECE, BLOCK = 200_000, 512
 #: Largest power of 2 of a size at which every n-gram is indexed singly.
 SINGLY = 4
+#: Texts of a lot at most; the number after the last stands for several.
+_MANY = 0xFFFF
 
 
 def gram_sets(texts: list[str | None], n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -58,270 +73,378 @@ def gram_sets(texts: list[str | None], n: int) -> Iterator[tuple[int, np.ndarray
             yield first + i, np.unique(tokens.grams(h[at[i] : at[i + 1]], n))
 
 
-def identity(grams: np.ndarray) -> int:
-    """64 bits that stand for a set of n-grams."""
-    total = np.add.reduce(tokens.mix(grams ^ np.uint64(0x5851F42D4C957F2D)), keepdims=True)
-    return int(tokens.mix(total + np.uint64(len(grams))).view(np.int64)[0])
-
+def identity(grams: np.ndarray) -> tuple[int, int]:
+    """Twice 64 bits that stand for a set of n-grams."""
+    out = []
+    for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
+        total = np.add.reduce(tokens.mix(grams ^ np.uint64(salt)), keepdims=True)
+        out.append(int(tokens.mix(total + np.uint64(len(grams))).view(np.int64)[0]))
+    return out[0], out[1]
 
-def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of frequent n-grams and their class, 1 up.
 
-    All documents are counted; of each GATHER n-grams, those that are there once only are left out.
-    """
+def parity(grams: np.ndarray) -> bytes:
+    """A bitmap as wide as the power of 2 from the set's size: bit i is the number of n-grams whose hash is i modulo the width, modulo 2."""
+    width = max(64, 1 << (len(grams) - 1).bit_length())
+    odd = np.bincount((grams % np.uint64(width)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, size = [], 0
 
-        def flush():
-            g, c = np.unique(np.concatenate(kept), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(g[c > 1].astype(np.int64)), pa.array(c[c > 1])], names=["g", "c"])
-
-        for batch in batches:
-            for _, g in gram_sets(batch.column(0).to_pylist(), n):
-                kept.append(g)
-                size += len(g)
-                if size >= GATHER:
-                    yield flush()
-                    kept, size = [], 0
-        if kept:
-            yield flush()
+@lru_cache(maxsize=256)
+def _choose(n: int, k: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), k)), dtype=np.int64).reshape(-1, k)
 
-    rows = (
-        docs.select("text")
-        .mapInArrow(count, "g long, c long")
-        .groupBy("g")
-        .agg(F.sum("c").alias("c"))
-        .filter(F.col("c") >= CLASSES[0][0])
-        .orderBy(F.desc("c"), "g")
-        .limit(FREQUENT)
-        .toPandas()
-    )
-    g, c = rows["g"].to_numpy(np.int64).view(np.uint64), rows["c"].to_numpy()
-    order = np.argsort(g)
-    return g[order], np.searchsorted([least for least, _ in CLASSES], c, side="right")[order].astype(np.uint8)
 
+def _needed(size: int, theta: float) -> int:
+    return size - math.ceil(theta * size - 1e-9) + 1
 
-@cache
-def _choose(n: int, k: int) -> np.ndarray:
-    return np.array(list(combinations(range(n), k)), dtype=np.int64).reshape(-1, k)
 
+def signatures(keys: np.ndarray, levels: np.ndarray, size: int, theta: float) -> np.ndarray:
+    """Signatures of a set of ``size`` n-grams, from the keys of those that several texts have, in their order.
 
-def signatures(grams: np.ndarray, frequent: np.ndarray, kinds: np.ndarray, theta: float) -> np.ndarray:
-    """Signatures of one set. ``grams`` is sorted and distinct."""
-    size = len(grams)
-    if size < 2:
-        return grams[:0]
-    need = size - math.ceil(theta * size - 1e-9) + 1
-    kind = np.zeros(size, dtype=np.uint8)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
-        kind = np.where(frequent[at] == grams, kinds[at], 0)
-    if not kind.any() or (kind == 0).sum() >= need:
-        return grams[kind == 0][:need]
-    order = np.argsort(kind, kind="stable")
-    grams, kind = grams[order], kind[order]
+    ``levels``: the power of 2 of the number of texts.
+    """
+    need = _needed(size, theta) - (size - len(keys))
+    if need <= 0:
+        return keys[:0]
+    kind = np.searchsorted([least.bit_length() - 1 for least, _ in CLASSES], levels, side="right")
+    rare = int((kind == 0).sum())
+    if rare >= need:
+        return np.unique(keys[:need])
     found = []
     own = size.bit_length() - 1
     for power in range(own, own + 1 + math.ceil(math.log2(1 / theta) - 1e-9)):
         if power <= SINGLY:
-            found.append(grams[:need])
+            found.append(keys[:need])
             continue
         groups = max(1, (1 << power) // 32)
         # A group's first k - 1 n-grams in the prefix don't count towards the need.
-        group = kind.astype(np.int64) * groups + (grams % np.uint64(groups)).astype(np.int64)
-        nth = np.zeros(size, dtype=np.int64)
+        group = kind.astype(np.int64) * groups + (tokens.mix(keys) % np.uint64(groups)).astype(np.int64)
+        nth = np.zeros(len(keys), dtype=np.int64)
         by = np.argsort(group, kind="stable")
         starts = np.flatnonzero(np.diff(group[by], prepend=-1))
-        nth[by] = np.arange(size) - np.repeat(starts, np.diff(np.append(starts, size)))
+        nth[by] = np.arange(len(keys)) - np.repeat(starts, np.diff(np.append(starts, len(keys))))
         counts = (kind == 0) | (nth >= np.array([0, *[k - 1 for _, k in CLASSES]])[kind])
         length = int(np.searchsorted(np.cumsum(counts), need)) + 1
-        assert length <= size, "a prefix can't reach its need"
-        rare = int((kind[:length] == 0).sum())
-        found.append(grams[:rare])
-        if length > rare:
-            part, tail = group[rare:length], grams[rare:length]
-            by = np.argsort(part, kind="stable")
-            part, tail = part[by], tail[by]
-            edges = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
-            for a, b in zip(edges[:-1], edges[1:]):
-                k = CLASSES[part[a] // groups - 1][1]
-                if b - a >= k:
-                    picks = np.sort(tail[a:b])[_choose(int(b - a), k)]
-                    sig = np.full(len(picks), power * 8 + k, dtype=np.uint64)
-                    for c in range(k):
-                        sig = tokens.mix(sig + picks[:, c])
-                    found.append(sig)
+        assert length <= len(keys), "a prefix can't reach its need"
+        found.append(keys[:rare])
+        part, tail = group[rare:length], keys[rare:length]
+        by = np.argsort(part, kind="stable")
+        part, tail = part[by], tail[by]
+        edges = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+        for a, b in zip(edges[:-1], edges[1:]):
+            k = CLASSES[part[a] // groups - 1][1]
+            if b - a >= k:
+                picks = np.sort(tail[a:b])[_choose(int(b - a), k)]
+                sig = np.full(len(picks), power * 8 + k, dtype=np.uint64)
+                for c in range(k):
+                    sig = tokens.mix(sig + picks[:, c])
+                found.append(sig)
     return np.unique(np.concatenate(found))
 
 
-def _index(docs: DataFrame, n: int, theta: float) -> DataFrame:
-    """(sig, set, size): a row for each signature of each document's set."""
-    bound = docs.sparkSession.sparkContext.broadcast(_frequent(docs, n))
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of unsigned numbers, byte by byte without the bytes that none needs."""
+    head, body = [struct.pack("<B", len(arrays))], []
+    for a in arrays:
+        width = (int(a.max()).bit_length() + 7) // 8 if len(a) else 0
+        head.append(struct.pack("<QBB", len(a), width, a.itemsize))
+        body.append(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize)[:, :width].T).tobytes())
+    return b"".join([*head, pa.compress(b"".join(body), codec="zstd", asbytes=True)])
+
+
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    heads = [struct.unpack_from("<QBB", blob, 1 + 10 * i) for i in range(blob[0])]
+    raw = np.frombuffer(pa.decompress(blob[1 + 10 * blob[0] :], sum(n * w for n, w, _ in heads), codec="zstd", asbytes=True), dtype=np.uint8)
+    out, at = [], 0
+    for n, width, item in heads:
+        a = np.zeros((n, item), dtype=np.uint8)
+        a[:, :width] = raw[at : at + n * width].reshape(width, n).T
+        out.append(a.reshape(-1).view(f"<u{item}"))
+        at += n * width
+    return out
+
+
+def _edges(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins, and the end."""
+    return np.append(np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1])[: len(sorted_keys)]), len(sorted_keys))
+
+
+def _low(part: int, bits: int, ranges: int) -> np.uint64:
+    """The least key of a range."""
+    return np.uint64((part << bits) // ranges)
+
+
+def _lot(sets: list[np.ndarray], ids: list[int], bits: int, ranges: int) -> Iterator[tuple[int, bytes]]:
+    """(-1, the lot's header) and (range, blob) of its keys with the texts that have them."""
+    size = np.fromiter(map(len, sets), dtype=np.uint32, count=len(sets))
+    packed = np.concatenate(sets) >> np.uint64(64 - bits)
+    packed = np.sort(packed << np.uint64(16) | np.repeat(np.arange(len(sets), dtype=np.uint64), size))
+    key, text = packed >> np.uint64(16), (packed & np.uint64(_MANY)).astype(np.uint16)
+    edge = _edges(key)
+    count = np.diff(edge)
+    hot = count > LOCAL
+    inside = np.repeat(hot, count)
+    yield -1, _pack(np.array(ids, dtype=np.int64).view(np.uint64), size, key[edge[:-1]][hot], count[hot].astype(np.uint32), text[inside])
+    keep = ~inside
+    keep[edge[:-1][hot]] = True
+    text[inside] = _MANY
+    key, text = key[keep], text[keep]
+    weight, nth = count[hot].astype(np.uint32), np.append(0, np.cumsum(text == _MANY))
+    low = np.array([_low(r, bits, ranges) for r in range(ranges + 1)])
+    at = np.searchsorted(key, low)
+    for r in range(ranges):
+        a, b = at[r], at[r + 1]
+        if b > a:
+            yield r, _pack(np.diff(key[a:b], prepend=low[r]), text[a:b], weight[nth[a] : nth[b]])
+
+
+def _scan(texts: DataFrame, n: int, bits: int, ranges: int) -> DataFrame:
+    """A row for each text that has words (part -2: h, c, set, check, size, bits), and each lot's rows (part, lot, blob). texts: h, c, text."""
+    columns = ["part", "lot", "h", "c", "set", "check", "size", "bits", "blob"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, kinds = bound.value
-        for batch in batches:
-            sigs, sets, sizes, total = [], [], [], 0
-
-            def flush():
-                count = np.fromiter(map(len, sigs), dtype=np.int64, count=len(sigs))
-                return pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(sigs).view(np.int64)),
-                        pa.array(np.repeat(np.array(sets, dtype=np.int64), count)),
-                        pa.array(np.repeat(np.array(sizes, dtype=np.int32), count)),
-                    ],
-                    names=["sig", "set", "size"],
-                )
-
-            for _, g in gram_sets(batch.column(0).to_pylist(), n):
-                s = signatures(g, frequent, kinds, theta)
-                if len(s):
-                    sigs.append(s)
-                    sets.append(identity(g))
-                    sizes.append(len(g))
-                    total += len(s)
-                    if total > 200_000:
-                        yield flush()
-                        sigs, sets, sizes, total = [], [], [], 0
-            if sigs:
-                yield flush()
-
-    return docs.select("text").mapInArrow(run, "sig long, set long, size int")
+        from pyspark import TaskContext
+
+        lot = TaskContext.get().partitionId() << 32
+        sets, ids, total = [], [], 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal sets, ids, total, lot
+            rows = []
+            for part, blob in _lot(sets, ids, bits, ranges):
+                rows.append((part, lot, None, None, None, None, None, None, blob))
+                if len(rows) == 256:
+                    yield table(rows)
+                    rows = []
+            if rows:
+                yield table(rows)
+            sets, ids, total, lot = [], [], 0, lot + 1
+
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                h, c, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+                for i, g in gram_sets(batch.column(2).to_pylist(), n):
+                    if not len(g):
+                        continue
+                    name, check = identity(g)
+                    rows.append((-2, None, h[i], c[i], name, check, len(g), parity(g), None))
+                    if sets and (total + len(g) > LOT or len(sets) == _MANY):
+                        yield from close()
+                    sets.append(g)
+                    ids.append(name)
+                    total += len(g)
+                if rows:
+                    yield table(rows)
+        if sets:
+            yield from close()
+
+    return texts.mapInArrow(run, "part int, lot long, h long, c long, set long, check long, size int, bits binary, blob binary")
+
+
+def _counted(table: pa.Table, bits: int, ranges: int) -> pa.Table:
+    """Of one range's blobs: each lot's keys that several texts have, with the power of 2 of how many."""
+    keys, texts, weights = [], [], []
+    low = _low(table.column("part")[0].as_py(), bits, ranges)
+    for blob in table.column("blob"):
+        step, text, weight = _unpack(blob.as_py())
+        keys.append(low + np.cumsum(step, dtype=np.uint64))
+        texts.append(text)
+        w = np.ones(len(text), dtype=np.int64)
+        w[text == _MANY] = weight
+        weights.append(w)
+    key = np.concatenate(keys)
+    by = np.argsort(key)
+    edge = _edges(key[by])
+    count = np.add.reduceat(np.concatenate(weights)[by], edge[:-1])
+    level = np.zeros(len(key), dtype=np.uint8)
+    level[by] = np.repeat((np.frexp(count.astype(np.float64))[1] - 1).astype(np.uint8), np.diff(edge))
+    blobs, at = [], 0
+    for k, t in zip(keys, texts):
+        own = level[at : at + len(k)]
+        at += len(k)
+        keep = own > 0
+        blobs.append(_pack(np.diff(k[keep], prepend=low), t[keep], own[keep]))
+    return pa.table([table.column("part"), table.column("lot"), pa.array(blobs, pa.binary())], names=["part", "lot", "blob"])
+
+
+def _signed(table: pa.Table, theta: float, bits: int, ranges: int) -> pa.Table:
+    """(sig, set, size) of one lot's texts that may have partners, from its header and what the ranges sent back."""
+    keys, texts, levels = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)], [np.zeros(0, np.uint8)]
+    for part, blob in zip(table.column("part").to_pylist(), table.column("blob")):
+        found = _unpack(blob.as_py())
+        if part < 0:
+            ids, sizes, hot, count, members = found
+        else:
+            keys.append(_low(part, bits, ranges) + np.cumsum(found[0], dtype=np.uint64))
+            texts.append(found[1])
+            levels.append(found[2])
+    key, text, level = np.concatenate(keys), np.concatenate(texts), np.concatenate(levels)
+    many = text == _MANY
+    if many.any():
+        # Every key of several texts of a lot comes back, and hot is sorted.
+        own = np.argsort(key[many])
+        level = np.concatenate([level[~many], np.repeat(level[many][own], count)])
+        key = np.concatenate([key[~many], np.repeat(hot, count)])
+        text = np.concatenate([text[~many], members])
+    by = np.lexsort((key, level, text))
+    key, level = key[by], level[by]
+    ends = np.searchsorted(text[by], np.arange(len(sizes) + 1))
+    sigs, owner, size = [np.zeros(0, np.uint64)], [], []
+    for i in range(len(sizes)):
+        a, b = ends[i], ends[i + 1]
+        s = signatures(key[a:b], level[a:b], int(sizes[i]), theta)
+        if len(s):
+            sigs.append(s)
+            owner.append(np.full(len(s), ids[i]))
+            size.append(np.full(len(s), sizes[i], dtype=np.int32))
+    owner, size = np.concatenate([np.zeros(0, np.uint64), *owner]), np.concatenate([np.zeros(0, np.int32), *size])
+    return pa.table([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(owner.view(np.int64)), pa.array(size)], names=["sig", "set", "size"])
+
+
+def _index(scan: DataFrame, theta: float, bits: int, ranges: int) -> DataFrame:
+    """(sig, set, size): a row for each signature of each text that may have a partner."""
+    blobs = scan.filter("part >= 0").select("part", "lot", "blob")
+    back = blobs.groupBy("part").applyInArrow(lambda table: _counted(table, bits, ranges), "part int, lot long, blob binary")
+    lots = back.unionByName(scan.filter("part = -1").select("part", "lot", "blob"))
+    return lots.groupBy("lot").applyInArrow(lambda table: _signed(table, theta, bits, ranges), "sig long, set long, size int")
 
 
 def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Columns of whole runs of an equal first column, from batches that are sorted by it."""
-    held: list[np.ndarray] | None = None
+    held: list[list[np.ndarray]] = []
+
+    def together() -> list[np.ndarray]:
+        return [np.concatenate(x) for x in zip(*held)]
+
     for batch in batches:
+        if not batch.num_rows:
+            continue
         now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
-        last = int(np.searchsorted(held[0], held[0][-1]))
+        if held and held[0][0][0] != now[0][0]:
+            yield together()
+            held = []
+        last = int(np.searchsorted(now[0], now[0][-1]))
         if last:
-            yield [c[:last] for c in held]
-            held = [c[last:] for c in held]
-    if held is not None and len(held[0]):
-        yield held
+            held.append([c[:last] for c in now])
+            yield together()
+            held = []
+        held.append([c[last:] for c in now])
+    if held:
+        yield together()
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(least, sets, sizes) for each signature of several sets; equal sets count once."""
+    """(least, split, sets, sizes) for each signature of several sets; equal sets count once.
+
+    A list of more than BLOCK sets becomes lists of two of its blocks each, of
+    which only those before and after ``split`` are to meet; sets are in the
+    same blocks in all lists of like length. ``least`` is alike for the lists of
+    one group of similar sets, mostly.
+    """
     for sig, ident, size in _sorted_runs(batches):
-        edge = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-        many = np.diff(np.append(edge, len(sig))) > 1
-        keep = np.repeat(many, np.diff(np.append(edge, len(sig))))
-        sig, ident, size = sig[keep], ident[keep], size[keep]
         order = np.lexsort((ident, sig))
         sig, ident, size = sig[order], ident[order], size[order]
-        new = np.append(True, (sig[1:] != sig[:-1]) | (ident[1:] != ident[:-1]))[: len(sig)]
+        new = np.append(True, (sig[1:] != sig[:-1]) | (ident[1:] != ident[:-1]))
         sig, ident, size = sig[new], ident[new], size[new]
-        edge = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])[: len(sig)])
-        count = np.diff(np.append(edge, len(sig)))
-        many = count > 1
-        keep = np.repeat(many, count)
-        if not keep.any():
-            continue
-        ends = np.append(0, np.cumsum(count[many])).astype(np.int32)
-        ident, size = ident[keep], size[keep]
-        for a in range(0, len(ends) - 1, 50_000):
-            e = ends[a : a + 50_001]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ident[e[:-1]]),
-                    pa.ListArray.from_arrays(pa.array(e - e[0]), pa.array(ident[e[0] : e[-1]])),
-                    pa.ListArray.from_arrays(pa.array(e - e[0]), pa.array(size[e[0] : e[-1]].astype(np.int32))),
-                ],
-                names=["least", "sets", "sizes"],
-            )
-
-
-def _pairs_of(lists: list[np.ndarray], sizes: list[np.ndarray], theta: float) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of members of a list whose sizes allow theta; each list is sorted."""
-    ids, first, inverse = np.unique(np.concatenate(lists), return_index=True, return_inverse=True)
-    size = np.concatenate(sizes)[first].astype(np.float64)
-    if len(ids) == 2:
-        return (ids[:1], ids[1:]) if min(size) >= theta * max(size) else (ids[:0], ids[:0])
-    ends = np.cumsum([len(x) for x in lists])
-    local = [inverse[b - len(x) : b] for b, x in zip(ends, lists)]
-    within: dict[int, list[int]] = {}
-    for i, x in enumerate(local):
-        for m in x[:-1].tolist():
-            within.setdefault(m, []).append(i)
-    left, right = [], []
-    for m, held in within.items():
-        near = np.unique(np.concatenate([local[i] for i in held])) if len(held) > 1 else local[held[0]]
-        near = near[near > m]
-        near = near[np.minimum(size[near], size[m]) >= theta * np.maximum(size[near], size[m])]
-        left.append(np.full(len(near), m))
-        right.append(near)
-    a, b = np.concatenate(left), np.concatenate(right)
-    return ids[a], ids[b]
+        edge = _edges(sig)
+        count = np.diff(edge)
+        short = (count > 1) & (count <= BLOCK)
+        keep = np.repeat(short, count)
+        if keep.any():
+            ends = np.append(0, np.cumsum(count[short])).astype(np.int32)
+            some, sizes = ident[keep], size[keep]
+            for a in range(0, len(ends) - 1, 50_000):
+                e = ends[a : a + 50_001]
+                yield _rows(some[e[:-1]], np.zeros(len(e) - 1, np.int32), e - e[0], some[e[0] : e[-1]], sizes[e[0] : e[-1]])
+        for i in np.flatnonzero(count > BLOCK):
+            own, sizes = ident[edge[i] : edge[i + 1]], size[edge[i] : edge[i + 1]]
+            blocks = 1 << (len(own) // BLOCK).bit_length()
+            home = (tokens.mix(own.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+            members = [np.flatnonzero(home == b) for b in range(blocks)]
+            for a in range(blocks):
+                for b in range(a, blocks):
+                    at = np.concatenate([members[a], members[b]]) if b > a else members[a]
+                    split = len(members[a]) if b > a else 0
+                    if len(at) > max(1, split) and (split or a == b):
+                        name = tokens.mix(tokens.mix(own[:1].view(np.uint64)) + np.uint64(a * blocks + b + 1)).view(np.int64)
+                        yield _rows(name, np.array([split], np.int32), np.array([0, len(at)]), own[at], sizes[at])
+
+
+def _rows(least: np.ndarray, split: np.ndarray, ends: np.ndarray, sets: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+    ends = pa.array(ends.astype(np.int32))
+    lists = [pa.ListArray.from_arrays(ends, pa.array(sets)), pa.ListArray.from_arrays(ends, pa.array(sizes.astype(np.int32)))]
+    return pa.RecordBatch.from_arrays([pa.array(least), pa.array(split), *lists], names=["least", "split", "sets", "sizes"])
+
+
+def _pairs_of(lists: list[tuple[int, np.ndarray, np.ndarray]], theta: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct pairs (a, b), a < b, of lists' members whose sizes allow theta, some at a time."""
+    if len(lists) == 1 and len(lists[0][1]) == 2:
+        _, (a, b), (m, n) = lists[0]
+        if min(m, n) >= theta * max(m, n):
+            yield np.array([min(a, b)]), np.array([max(a, b)])
+        return
+    ids, first, inverse = np.unique(np.concatenate([x for _, x, _ in lists]), return_index=True, return_inverse=True)
+    size = np.concatenate([s for _, _, s in lists])[first].astype(np.float64)
+    ends = np.cumsum([0, *[len(x) for _, x, _ in lists]])
+    # Rows of the matrix of who meets whom, as many at a time as 16 MB hold.
+    step = max(1, (16 << 20) // len(ids))
+    for start in range(0, len(ids), step):
+        met = np.zeros((min(step, len(ids) - start), len(ids)), dtype=bool)
+        for (split, _, _), a, b in zip(lists, ends[:-1], ends[1:]):
+            local = inverse[a:b]
+            for own, others in ((local[:split], local[split:]), (local[split:], local[:split])) if split else ((local, local),):
+                own = own[(own >= start) & (own < start + len(met))]
+                met[np.ix_(own - start, others)] = True
+        a, b = np.nonzero(met)
+        a += start
+        near = (b > a) & (np.minimum(size[a], size[b]) >= theta * np.maximum(size[a], size[b]))
+        if near.any():
+            yield ids[a[near]], ids[b[near]]
 
 
 def _candidates(lists: DataFrame, theta: float) -> DataFrame:
     """(least, piece, a, b). Lists of one least member meet in one task, so that a pair of many shared signatures comes out once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _whole_groups(batches):
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for least, group, sizes in batch:
-                a, b = _pairs_of(group, sizes, theta)
-                for column, x in zip(out, (np.full(len(a), least), np.arange(len(a)) // PIECE, a, b)):
-                    column.append(x)
-            cols = [np.concatenate(x) for x in out]
-            for i in range(0, len(cols[0]), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000].astype(np.int64)) for c in cols], names=["least", "piece", "a", "b"])
+        out, held = [], 0
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)], names=["least", "piece", "a", "b"])
+
+        for least, lists in _whole_groups(batches):
+            made = 0
+            for a, b in _pairs_of(lists, theta):
+                out.append((np.full(len(a), least), np.full(len(a), made // PIECE), a, b))
+                made += len(a)
+                held += len(a)
+                if held > 100_000:
+                    yield flush()
+                    out, held = [], 0
+        if out:
+            yield flush()
 
     return lists.repartition("least").sortWithinPartitions("least").mapInArrow(run, "least long, piece long, a long, b long")
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, list[np.ndarray], list[np.ndarray]]]]:
-    """Groups of rows of one least member, some batches' worth at once; a group is handed on whole."""
-    current: tuple[int, list, list] | None = None
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, np.ndarray, np.ndarray]]]]:
+    """(least, its lists), whole."""
+    current, held = None, []
     for batch in batches:
-        done = []
-        least = batch.column(0).to_numpy()
-        parts = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in (batch.column(1), batch.column(2))]
+        least, split = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        parts = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in (batch.column(2), batch.column(3))]
         for i in range(len(least)):
-            if current is None or current[0] != least[i]:
-                if current is not None:
-                    done.append(current)
-                current = (int(least[i]), [], [])
-            for held, (offsets, values) in zip(current[1:], parts):
-                held.append(values[offsets[i] : offsets[i + 1]])
-        if done:
-            yield done
-    if current is not None:
-        yield [current]
-
-
-def named(docs: DataFrame, n: int = N) -> DataFrame:
-    """(doc_id, text_hash, set, size, bits) of documents that have words, without their texts.
-
-    bits is a parity bitmap: bit i is the number of n-grams whose hash is i
-    modulo its width, modulo 2. The width is the power of 2 from the set's size.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets, sizes, bits = [None] * batch.num_rows, [None] * batch.num_rows, [None] * batch.num_rows
-            for i, g in gram_sets(batch.column(2).to_pylist(), n):
-                if len(g):
-                    width = max(64, 1 << (len(g) - 1).bit_length())
-                    sets[i], sizes[i] = identity(g), len(g)
-                    odd = np.bincount((g % np.uint64(width)).astype(np.int64), minlength=width) & 1
-                    bits[i] = np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sets, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary())],
-                names=["doc_id", "text_hash", "set", "size", "bits"],
-            )
-
-    return (
-        docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-        .mapInArrow(run, "doc_id long, text_hash long, set long, size int, bits binary")
-        .filter("set is not null")
-    )
+            if held and current != least[i]:
+                yield current, held
+                held = []
+            current = int(least[i])
+            held.append((int(split[i]), *[values[offsets[i] : offsets[i + 1]] for offsets, values in parts]))
+    if held:
+        yield current, held
 
 
 def possible(size_a: np.ndarray, size_b: np.ndarray, bits_a: list[bytes], bits_b: list[bytes], theta: float) -> np.ndarray:
@@ -358,8 +481,21 @@ def _together(pairs: DataFrame, sets: DataFrame, each: int, check, shape: str) -
     return keyed.groupBy("bucket").cogroup(held.groupBy("at")).applyInPandas(check, shape)
 
 
-def _verified(docs: DataFrame, meta: DataFrame, pairs: DataFrame, n: int, theta: float) -> DataFrame:
-    """(a, b, jaccard) of the candidate pairs that reach theta. Bitmaps rule most out; the others are verified from whole texts."""
+def _pieces(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs (least, piece, a, b) under the least of their names, so that similar sets mostly are in one piece; large pieces are cut by blocks of sets. A cut."""
+    once = cut(pairs.groupBy("a", "b").agg(F.min("least").alias("least")))
+    # At most one row for PIECE pairs.
+    large = cut(once.groupBy("least").agg(F.count("*").alias("n")).filter(F.col("n") > PIECE).withColumn("blocks", F.ceil(F.sqrt(F.col("n") / PIECE))))
+    placed = once.join(if_small(large.select("least", "blocks")), "least", "left")
+    block = F.pmod(F.xxhash64("a"), "blocks") * F.col("blocks") + F.pmod(F.xxhash64("b"), "blocks")
+    out = cut(placed.select("least", F.coalesce(block, F.lit(0)).cast("long").alias("piece"), "a", "b"))
+    drop(once)
+    drop(large)
+    return out
+
+
+def _verified(texts: DataFrame, meta: DataFrame, pairs: DataFrame, n: int, theta: float) -> DataFrame:
+    """(a, b, jaccard) of the candidate pairs that reach theta. Bitmaps rule most out; the others are verified from whole texts. texts: h, c, text."""
 
     def screen(key, pdf, sets):
         at = dict(zip(sets["set"].tolist(), range(len(sets))))
@@ -385,27 +521,52 @@ def _verified(docs: DataFrame, meta: DataFrame, pairs: DataFrame, n: int, theta:
         return pd.DataFrame({"a": np.array(a, dtype=np.int64)[keep], "b": np.array(b, dtype=np.int64)[keep], "jaccard": sim[keep]})
 
     sketches = meta.select("set", "size", "bits").dropDuplicates(["set"])
-    left = cut(_together(pairs, sketches, 20_000, screen, "least long, piece long, a long, b long").dropDuplicates(["a", "b"]))
+    left = _pieces(_together(pairs, sketches, 20_000, screen, "least long, piece long, a long, b long"))
     wanted = left.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-    # One text of each set; equal texts have equal sets.
-    which = cut(meta.join(wanted, "set", "left_semi").groupBy("set").agg(F.min("text_hash").alias("text_hash")))
-    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").join(if_small(which), "text_hash").dropDuplicates(["set"])
-    found = cut(_together(left, texts.select("set", "text"), 1_000, verify, "a long, b long, jaccard double"))
+    # One text of each set.
+    which = cut(meta.join(wanted, "set", "left_semi").groupBy("set").agg(F.min(F.struct("h", "c")).alias("t")).select("set", "t.h", "t.c"))
+    held = texts.join(if_small(which), ["h", "c"]).dropDuplicates(["set"])
+    found = cut(_together(left, held.select("set", "text"), 1_000, verify, "a long, b long, jaccard double"))
     drop(left)
     drop(which)
     return found
 
 
-def similar_sets(docs: DataFrame, meta: DataFrame, n: int = N, theta: float = THETA) -> DataFrame:
-    """(a, b, jaccard), a < b: pairs of different n-gram sets, by their identities. meta: a cut of ``named``."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, c, text) of texts that aren't null; h and c are 96 bits that stand for a text."""
+    return docs.filter("text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), F.crc32("text").alias("c"), "text")
+
+
+def similar_sets(docs: DataFrame, n: int = N, theta: float = THETA) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, c, set) of each row of ``docs`` that has words, and (a, b, jaccard), a < b, of pairs of different sets. Cuts.
+
+    h and c tell the text. Of texts whose sets differ in spite of equal 64 bits, only those of one set are there.
+    """
     if not LEAST <= theta <= 1:
         raise ValueError(f"theta must be from {LEAST} to 1")
-    index = _index(docs, n, theta)
-    lists = index.repartition("sig").sortWithinPartitions("sig").mapInArrow(_lists, "least long, sets array<long>, sizes array<int>")
+    keyed = _keyed(docs)
+    order = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    # Texts of several rows, and which row stands for all.
+    several = cut(keyed.groupBy("h", "c").agg(F.min(order).alias("lo"), F.count("*").alias("rows")).filter("rows > 1").select("h", "c", "lo"))
+    texts = keyed.join(if_small(several), ["h", "c"], "left").filter(F.col("lo").isNull() | (order == F.col("lo"))).select("h", "c", "text")
+    grams = max(1, (keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6)
+    bits = min(KEY[1], max(KEY[0], grams.bit_length() + SPARE))
+    ranges = -(-grams // RANGE)
+    scan = cut(_scan(texts, n, bits, ranges))
+    index = cut(_index(scan, theta, bits, ranges))
+    every = scan.filter("part = -2").select("h", "c", "set", "check", "size", "bits")
+    canon = every.groupBy("set").agg(F.min("check").alias("check"))
+    meta = cut(every.join(canon, ["set", "check"]).dropDuplicates(["h", "c"]).select("h", "c", "set", "size", "bits"))
+    drop(scan)
+    lists = index.repartition("sig").sortWithinPartitions("sig").mapInArrow(_lists, "least long, split int, sets array<long>, sizes array<int>")
     pairs = cut(_candidates(lists, theta))
-    found = _verified(docs, meta, pairs, n, theta)
+    drop(index)
+    near = _verified(texts, meta, pairs, n, theta)
     drop(pairs)
-    return found
+    rows = cut(keyed.select("doc_id", "h", "c").join(meta.select("h", "c", "set"), ["h", "c"]))
+    drop(meta)
+    drop(several)
+    return rows, near
 
 
 def jaccard_join(docs: DataFrame, n: int = N, theta: float = THETA) -> DataFrame:
@@ -414,11 +575,13 @@ def jaccard_join(docs: DataFrame, n: int = N, theta: float = THETA) -> DataFrame
     Words are cut at white space, case counts; a text of fewer than ``n`` words
     is a single n-gram. Null texts, texts without words and null doc_ids have no
     pairs. Rows that share a doc_id aren't paired with each other, and a pair of
-    doc_ids comes once, with its highest similarity. Equal texts pair at 1.
+    doc_ids comes once, with its highest similarity. Equal texts pair at 1, and
+    are spelled out in pairs: where there are many copies, ``similar_groups`` is
+    the same in a row a document. Texts are read whole, whatever their length;
+    other columns are ignored, and an empty table has no pairs.
     """
-    meta = cut(named(docs, n))
-    near = similar_sets(docs, meta, n, theta)
-    ids = meta.filter("doc_id is not null").select("doc_id", "set").distinct()
+    rows, near = similar_sets(docs, n, theta)
+    ids = rows.filter("doc_id is not null").select("doc_id", "set").distinct()
     a, b = ids.toDF("doc_a", "a"), ids.toDF("doc_b", "b")
     same = a.join(b, F.col("a") == F.col("b")).filter("doc_a < doc_b").select("doc_a", "doc_b", F.lit(1.0).alias("jaccard"))
     other = near.join(a, "a").join(b, "b").filter("doc_a <> doc_b")
@@ -432,7 +595,12 @@ def groups(edges: DataFrame) -> DataFrame:
     Each round is a few joins on a table that only shrinks; a component of
     diameter d takes about log(d) rounds.
     """
+
+    def state(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    before = state(edges)
     while True:
         # Large star: each node's larger neighbours go to its least one. Small star: its smaller ones do.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -442,12 +610,43 @@ def groups(edges: DataFrame) -> DataFrame:
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
         after = cut(small.distinct())
-        changed = after.exceptAll(edges).limit(1).count() or edges.exceptAll(after).limit(1).count()
         drop(edges)
         drop(large)
-        edges = after
-        if not changed:
+        edges, now = after, state(after)
+        if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("head"))
+        before = now
+
+
+def similar_groups(docs: DataFrame, n: int = N, theta: float = THETA) -> DataFrame:
+    """(doc_id, class_id, links) of every document.
+
+    links is the number of other documents of similarity ``theta`` or more,
+    equal texts too, and class_id the least doc_id that is reached over such
+    links. Pairs are never spelled out between equal sets, so a text of many
+    copies costs no more than its rows; pairs of different sets are all there.
+
+    Words are cut at white space, case counts; a text of fewer than ``n`` words
+    is a single n-gram. Documents of a null text or without words have no links
+    and are their own class. Rows of a null doc_id are left out and link
+    nothing. Equal rows are one; different texts of one doc_id each have a row,
+    and count once for a text similar to them. Texts are read whole, whatever
+    their length; other columns are ignored; an empty table gives an empty one.
+    """
+    docs = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
+    rows, near = similar_sets(docs, n, theta)
+    ids = cut(rows.select("doc_id", "set").distinct())
+    held = cut(ids.groupBy("set").agg(F.count("*").alias("docs"), F.min("doc_id").alias("least")))
+    both = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    more = both.join(held.select(F.col("set").alias("b"), "docs"), "b").groupBy(F.col("a").alias("set")).agg(F.sum("docs").alias("more"))
+    heads = cut(groups(near.select("a", "b")))
+    placed = held.join(heads.select(F.col("node").alias("set"), "head"), "set", "left").withColumn("head", F.coalesce("head", "set"))
+    least = placed.groupBy("head").agg(F.min("least").alias("class_id"))
+    each = placed.join(least, "head").join(more, "set", "left")
+    each = each.select("set", "class_id", (F.col("docs") - 1 + F.coalesce("more", F.lit(0))).alias("links"))
+    found = ids.join(each, "set").select("doc_id", "class_id", "links")
+    bare = docs.join(ids.select("doc_id"), "doc_id", "left_anti").select("doc_id").distinct()
+    return found.unionByName(bare.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links")))
 
 
 def near_dedup(docs: DataFrame, n: int = N, theta: float = THETA) -> DataFrame:
@@ -457,43 +656,43 @@ def near_dedup(docs: DataFrame, n: int = N, theta: float = THETA) -> DataFrame:
     Pairs are never spelled out between equal sets, so a text of many copies
     costs no more than its rows. Null texts and texts without words stay, and
     null doc_ids come last in a group. Of rows that share the group's least
-    doc_id one stays, of the least text.
+    doc_id one stays, of the least text by its hash. All columns stay as they
+    are, whatever their names; texts are read whole; an empty table stays empty.
     """
-    meta = cut(named(docs, n))
-    near = similar_sets(docs, meta, n, theta)
-    heads = groups(near.select("a", "b"))
-    grouped = meta.join(heads.select(F.col("node").alias("set"), "head"), "set", "left").select("doc_id", "text_hash", F.coalesce("head", "set").alias("head"))
-    first = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
+    rows, near = similar_sets(docs, n, theta)
+    heads = cut(groups(near.select("a", "b")))
+    grouped = rows.join(heads.select(F.col("node").alias("set"), "head"), "set", "left").select("doc_id", "h", "c", F.coalesce("head", "set").alias("head"))
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "c")
     best = grouped.groupBy("head").agg(F.min(first).alias("first"), F.count("*").alias("n"))
     # Groups of one need no decision; the documents that go are few beside those that stay.
     loser = (
         grouped.join(best.filter("n > 1"), "head")
-        .groupBy("doc_id", "text_hash", "first")
+        .groupBy("doc_id", "h", "c", "first")
         .agg(F.count("*").alias("rows"))
-        .withColumn("stay", F.expr("int(first.doc_id <=> doc_id and first.text_hash = text_hash)"))
-        .select(F.col("doc_id").alias("__lamina_id"), F.col("text_hash").alias("__lamina_hash"), "stay", "rows")
+        .withColumn("stay", F.expr("int(first.doc_id <=> doc_id and first.h = h and first.c = c)"))
+        .select(F.col("doc_id").alias("__lamina_id"), F.col("h").alias("__lamina_h"), F.col("c").alias("__lamina_c"), "stay", "rows")
         .filter("stay = 0 or rows > 1")
     )
     loser = cut(loser)
-    spark_docs = docs.withColumn("__lamina_text", F.xxhash64("text"))
-    same = (F.col("doc_id").eqNullSafe(F.col("__lamina_id"))) & (F.col("__lamina_text") == F.col("__lamina_hash"))
-    gone = spark_docs.join(if_small(loser.filter("stay = 0")), same, "left_anti")
-    twins = if_small(loser.filter("stay = 1").select("__lamina_id", "__lamina_hash", "stay"))
-    if loser.filter("stay = 1").limit(1).count() == 0:
-        return gone.select(*docs.columns)
-    joined = gone.join(twins, same, "left")
-    plain = joined.filter("stay is null").select(*docs.columns)
-    kept = joined.filter("stay = 1").dropDuplicates(["doc_id", "__lamina_text"]).select(*docs.columns)
-    return plain.unionByName(kept)
+    keyed = docs.withColumns({"__lamina_x": F.xxhash64("text"), "__lamina_y": F.crc32("text")})
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__lamina_id")) & (F.col("__lamina_x") == F.col("__lamina_h")) & (F.col("__lamina_y") == F.col("__lamina_c"))
+    gone = keyed.join(if_small(cut(loser.filter("stay = 0"))), same, "left_anti")
+    twins = cut(loser.filter("stay = 1").select("__lamina_id", "__lamina_h", "__lamina_c", "stay"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if not twins.limit(1).count():
+        return gone.select(*columns)
+    joined = gone.join(if_small(twins), same, "left")
+    kept = joined.filter("stay = 1").dropDuplicates(["doc_id", "__lamina_x", "__lamina_y"])
+    return joined.filter("stay is null").select(*columns).unionByName(kept.select(*columns))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of documents of similarity THETA or more."""
-    return jaccard_join(documents(spark, sf_dir).select("doc_id", "text"))
+    """Every document's class of similar ones, by the least doc_id, and its number of links of similarity THETA or more."""
+    return similar_groups(documents(spark, sf_dir).select("doc_id", "text"))
 
 
 SQL = f"""
-WITH w AS (
+WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\x0B]+'), lambda x: x <> '') AS w FROM documents
 ), g AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < {N} THEN [array_to_string(w, ' ')]
@@ -502,9 +701,12 @@ WITH w AS (
 ), s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 o AS (
   SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS shared
-  FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2
+  FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), p AS (
+  SELECT doc_a, doc_b FROM o JOIN s x ON x.doc_id = doc_a JOIN s y ON y.doc_id = doc_b
+  WHERE shared::DOUBLE / (x.n + y.n - shared) >= {THETA}
+), r AS (
+  SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, p.doc_b FROM r JOIN p ON p.doc_a = r.other
 )
-SELECT doc_a, doc_b, shared::DOUBLE / (x.n + y.n - shared) AS jaccard
-FROM o JOIN s x ON x.doc_id = doc_a JOIN s y ON y.doc_id = doc_b
-WHERE shared::DOUBLE / (x.n + y.n - shared) >= {THETA}
+SELECT doc_id, min(other) AS class_id, (SELECT count(*) FROM p WHERE doc_a = doc_id) AS links FROM r GROUP BY doc_id
 """

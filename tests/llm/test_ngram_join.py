@@ -1,13 +1,15 @@
 """The n-gram join against all pairs, and its groups against union-find."""
 
 import random
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lamina.llm import ngram_join
-from lamina.llm.ngram_join import groups, jaccard_join, near_dedup, possible
+from lamina.llm.ngram_join import groups, jaccard_join, near_dedup, possible, similar_groups
 
 SHAPE = "doc_id long, text string"
 
@@ -41,8 +43,7 @@ def copies(rng, n, words=40):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_all_pairs(spark, monkeypatch, seed):
-    # Small classes make combinations of two and three common.
-    monkeypatch.setattr(ngram_join, "CLASSES", [(3, 2), (8, 3)])
+    monkeypatch.setattr(ngram_join, "RANGE", 500)  # several ranges
     rows = copies(random.Random(seed), 60)
     found = {(r.doc_a, r.doc_b): r.jaccard for r in jaccard_join(spark.createDataFrame(rows, SHAPE)).collect()}
     want = brute(rows, ngram_join.THETA)
@@ -50,6 +51,86 @@ def test_all_pairs(spark, monkeypatch, seed):
     assert all(abs(found[k] - want[k]) < 1e-12 for k in want)
 
 
+def met(sets, lots, bits, ranges, theta):
+    """Pairs that share a signature, by what the jobs run, in one process."""
+    blobs, heads = {}, {}
+    for lot in range(lots):
+        own = [(i, g) for i, g in enumerate(sets) if i % lots == lot]
+        for part, blob in ngram_join._lot([g for _, g in own], [i for i, _ in own], bits, ranges):
+            (heads if part < 0 else blobs.setdefault(part, {}))[lot] = blob
+    back = {lot: [(-1, blob)] for lot, blob in heads.items()}
+    for part, held in blobs.items():
+        out = ngram_join._counted(pa.table({"part": pa.array([part] * len(held), pa.int32()), "lot": list(held), "blob": list(held.values())}), bits, ranges)
+        for lot, blob in zip(out["lot"].to_pylist(), out["blob"].to_pylist()):
+            back[lot].append((part, blob))
+    signed = pa.concat_tables(
+        ngram_join._signed(pa.table({"part": pa.array([p for p, _ in x], pa.int32()), "lot": [lot] * len(x), "blob": [b for _, b in x]}), theta, bits, ranges)
+        for lot, x in back.items()
+    )
+    lists = list(ngram_join._lists(signed.sort_by("sig").to_batches(max_chunksize=7)))
+    table = pa.Table.from_batches(lists).sort_by("least") if lists else None
+    found = set()
+    for _, group in ngram_join._whole_groups(table.to_batches(max_chunksize=5) if table else []):
+        for a, b in ngram_join._pairs_of(group, theta):
+            found |= set(zip(a.tolist(), b.tolist()))
+    return found
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_no_pair_is_lost_whatever_is_frequent_or_hot(monkeypatch, seed):
+    """Small classes, lots, blocks and keys make combinations, hot n-grams, split lists and chance agreement common."""
+    rng = np.random.default_rng(seed)
+    monkeypatch.setattr(ngram_join, "CLASSES", [[(2, 2), (8, 3)], [(4, 2), (4096, 3)], [(64, 2), (4096, 3)]][seed % 3])
+    monkeypatch.setattr(ngram_join, "LOCAL", [1, 3, 16][seed % 3])
+    monkeypatch.setattr(ngram_join, "BLOCK", [3, 5, 512][seed % 3])
+    theta = [0.5, 0.4][seed % 2]
+    pool = np.unique(rng.integers(0, 1 << 63, 4000).astype(np.uint64) * np.uint64(2))
+    sets = []
+    for _ in range(60):
+        base = rng.choice(pool[: rng.choice([60, 4000])], int(rng.integers(1, 60)), replace=False)
+        for _ in range(int(rng.integers(1, 5))):
+            own = base.copy()
+            change = rng.random(len(own)) < rng.choice([0, 0.1, 0.25])
+            own[change] = rng.integers(0, 1 << 63, int(change.sum())).astype(np.uint64)
+            sets.append(np.unique(own))
+    want = set()
+    for (i, a), (j, b) in combinations(enumerate(sets), 2):
+        both = len(np.intersect1d(a, b))
+        if both / (len(a) + len(b) - both) >= theta:
+            want.add((i, j))
+    assert len(want) > 50
+    assert want <= met(sets, 4, [36, 14, 48][seed % 3], [3, 1, 7][seed % 3], theta)
+
+
+def test_blobs_come_back():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5000):
+        given = [rng.integers(0, 1 << 37, n).astype(np.uint64), rng.integers(0, 60_000, n).astype(np.uint16), np.zeros(n, np.uint8)]
+        found = ngram_join._unpack(ngram_join._pack(*given))
+        assert all(np.array_equal(a, b) and a.dtype == b.dtype for a, b in zip(given, found))
+
+
+def classes(rows, theta):
+    """(doc_id, class_id, links) of rows of different doc_ids."""
+    pairs = brute(rows, theta)
+    heads = union(pairs)
+    links = Counter(x for p in pairs for x in p)
+    return sorted((i, heads.get(i, i), links[i]) for i, _ in rows)
+
+
+def test_a_row_for_each_document(spark):
+    rows = copies(random.Random(4), 40) + [(900, None), (901, ""), (902, " \n "), (903, "one"), (904, "one"), (905, "a " * 100_000)]
+    df = spark.createDataFrame([(i, t, i, "x", 0) for i, t in rows], "doc_id long, text string, class_id long, set string, h int")
+    assert sorted(tuple(r) for r in similar_groups(df).collect()) == classes(rows, ngram_join.THETA)
+    assert similar_groups(spark.createDataFrame([], SHAPE)).count() == 0
+
+
+def test_rows_of_repeated_and_null_ids(spark):
+    rows = [(None, "a b c d"), (None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (6, "a b c d"), (6, "x y z"), (7, "x y z"), (8, None)]
+    found = sorted(tuple(r) for r in similar_groups(spark.createDataFrame(rows, SHAPE)).collect())
+    assert found == [(5, 5, 1), (6, 5, 1), (6, 6, 1), (7, 6, 1), (8, 8, 0)]
+
+
 def test_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(20_000))
     rows = [
@@ -129,18 +210,25 @@ def test_sets_of_far_sizes_meet(theta):
     """Of pairs at the bound, of one part in the other and of equal sizes, each shares a signature, whatever is frequent."""
     rng = np.random.default_rng(4)
     for _ in range(300):
-        size = int(rng.integers(3, 600))
-        b = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        size = int(rng.integers(1, 600))
+        b = np.unique(rng.integers(0, 1 << 40, size).astype(np.uint64))
         a = np.sort(rng.choice(b, int(np.ceil(theta * len(b))), replace=False))
         both = int(np.ceil(2 * theta / (1 + theta) * size))
-        c = np.unique(np.concatenate([b[:both], rng.integers(0, 1 << 63, max(0, len(b) - both)).astype(np.uint64)]))
+        c = np.unique(np.concatenate([b[:both], rng.integers(0, 1 << 40, max(0, len(b) - both)).astype(np.uint64)]))
         known = np.unique(np.concatenate([b, c]))
-        frequent = known[rng.random(len(known)) < rng.choice([0.0, 0.5, 0.9, 1.0])]
-        kinds = rng.integers(1, 3, len(frequent)).astype(np.uint8)
+        # Shared ones are in two texts at least, the others anywhere; more often than not many are frequent.
+        level = np.where(rng.random(len(known)) < rng.choice([0.0, 0.5, 0.9, 1.0]), rng.integers(6, 14, len(known)), rng.integers(0, 6, len(known)))
         for x in (a, c):
-            shared = len(np.intersect1d(x, b))
-            if min(len(x), len(b)) > 1 and shared / (len(x) + len(b) - shared) >= theta:
-                sigs = [ngram_join.signatures(g, frequent, kinds, theta) for g in (x, b)]
+            shared = np.intersect1d(x, b)
+            if len(shared) / (len(x) + len(b) - len(shared)) >= theta:
+                own = np.where(np.isin(known, shared), np.maximum(level, 1), level)
+                sigs = []
+                for g in (x, b):
+                    at = np.searchsorted(known, g)
+                    there = own[at] > 0
+                    key, lev = g[there], own[at][there]
+                    by = np.lexsort((key, lev))
+                    sigs.append(ngram_join.signatures(key[by], lev[by], len(g), theta))
                 assert len(np.intersect1d(*sigs)), (len(x), len(b))
 
 
