@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows a side may have to be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
+#: Rows a side may have to be broadcast, and bytes of what varies in length; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,9 +47,10 @@ def drop(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for ``df`` if it has at most ``rows`` rows, else ``df`` as it is. Call it on a ``cut``: it counts."""
-    return F.broadcast(df) if df.count() <= rows else df
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: Column | None = None) -> DataFrame:
+    """Broadcast hint for ``df`` if it has at most ``rows`` rows and BROADCAST_BYTES by ``size``, bytes of a row that varies in length; else ``df`` as it is. Call it on a ``cut``: it counts."""
+    n, total = df.agg(F.count("*"), F.sum(F.lit(0) if size is None else size)).first()
+    return F.broadcast(df) if n <= rows and (total or 0) <= BROADCAST_BYTES else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

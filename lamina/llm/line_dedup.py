@@ -2,7 +2,8 @@
 
 Documents are grouped by host. A line is boilerplate on its host if it is on
 more than RATIO of the host's pages, and on MIN_PAGES of them at least; then it
-is dropped from all of them. Only 64-bit hashes of lines are shuffled. A host
+is dropped from all of them. The ratio alone would empty small hosts: of fewer
+than 1 / RATIO pages, each line of each page is on more than RATIO of them. Only 64-bit hashes of lines are shuffled. A host
 can have at most (distinct lines a page) / RATIO boilerplate lines, so their
 table is small beside the corpus.
 """
@@ -54,10 +55,13 @@ def line_dedup(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_
     Lines compare without white space around them; blank lines always stay. A
     document all of whose lines go has an empty text. Null texts, and documents
     of a null host, stay as they are. Each of several equal rows counts as a page.
+    A line on exactly ``ratio`` of the pages stays. Lines count and go whole,
+    whatever the length of the text; an empty table stays empty; columns of any
+    other name stay as they are.
     """
     found = cut(boilerplate(docs, host, ratio, min_pages))
     names = docs.columns
-    marks = if_small(found, 100_000).select(F.col("host").alias("__lamina_host"), F.col("hashes").alias("__lamina_hashes"))
+    marks = if_small(found, 100_000, 8 * F.size("hashes")).select(F.col("host").alias("__lamina_host"), F.col("hashes").alias("__lamina_hashes"))
     joined = docs.join(marks, F.col(host) == F.col("__lamina_host"), "left")
     hit = F.array_intersect(F.transform(_lines(F.col("text")), _hash), F.col("__lamina_hashes"))
     joined = joined.withColumn("__lamina_hit", F.when(F.col("__lamina_hashes").isNotNull(), hit))

@@ -54,7 +54,7 @@ N, THETA, LEAST = 3, 0.5, 0.4
 #: (least number of texts, a power of 2; k): the classes of frequent n-grams.
 CLASSES = [(64, 2), (4096, 3)]
 #: n-grams of a lot and of a range of keys; texts of a lot with the same key from which it is sent once for all.
-LOT, RANGE, LOCAL = 1 << 22, 1 << 21, 16
+LOT, RANGE, LOCAL = 1 << 21, 1 << 20, 16
 #: Bits of a key beyond those that number all n-grams: one in 2**SPARE keys agrees with another by chance. And bits of a key at least and at most.
 SPARE, KEY = 10, (36, 48)
 #: Pairs to verify in one piece, and members of a list that are paired at once.
@@ -243,7 +243,7 @@ def _scan(texts: DataFrame, n: int, bits: int, ranges: int) -> DataFrame:
         if sets:
             yield from close()
 
-    return texts.mapInArrow(run, "part int, lot long, h long, c long, set long, check long, size int, bits binary, blob binary")
+    return texts.mapInArrow(tokens.tidy(run), "part int, lot long, h long, c long, set long, check long, size int, bits binary, blob binary")
 
 
 def _counted(table: pa.Table, bits: int, ranges: int) -> pa.Table:
@@ -269,6 +269,7 @@ def _counted(table: pa.Table, bits: int, ranges: int) -> pa.Table:
         at += len(k)
         keep = own > 0
         blobs.append(_pack(np.diff(k[keep], prepend=low), t[keep], own[keep]))
+    tokens.release()
     return pa.table([table.column("part"), table.column("lot"), pa.array(blobs, pa.binary())], names=["part", "lot", "blob"])
 
 
@@ -302,6 +303,7 @@ def _signed(table: pa.Table, theta: float, bits: int, ranges: int) -> pa.Table:
             sigs.append(s)
             owner.append(np.full(len(s), ids[i]))
             size.append(np.full(len(s), sizes[i], dtype=np.int32))
+    tokens.release()
     owner, size = np.concatenate([np.zeros(0, np.uint64), *owner]), np.concatenate([np.zeros(0, np.int32), *size])
     return pa.table([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(owner.view(np.int64)), pa.array(size)], names=["sig", "set", "size"])
 
@@ -391,8 +393,8 @@ def _pairs_of(lists: list[tuple[int, np.ndarray, np.ndarray]], theta: float) ->
     ids, first, inverse = np.unique(np.concatenate([x for _, x, _ in lists]), return_index=True, return_inverse=True)
     size = np.concatenate([s for _, _, s in lists])[first].astype(np.float64)
     ends = np.cumsum([0, *[len(x) for _, x, _ in lists]])
-    # Rows of the matrix of who meets whom, as many at a time as 16 MB hold.
-    step = max(1, (16 << 20) // len(ids))
+    # Rows of the matrix of who meets whom, as many at a time as 1 MB holds.
+    step = max(1, (1 << 20) // len(ids))
     for start in range(0, len(ids), step):
         met = np.zeros((min(step, len(ids) - start), len(ids)), dtype=bool)
         for (split, _, _), a, b in zip(lists, ends[:-1], ends[1:]):
@@ -428,7 +430,7 @@ def _candidates(lists: DataFrame, theta: float) -> DataFrame:
         if out:
             yield flush()
 
-    return lists.repartition("least").sortWithinPartitions("least").mapInArrow(run, "least long, piece long, a long, b long")
+    return lists.repartition("least").sortWithinPartitions("least").mapInArrow(tokens.tidy(run), "least long, piece long, a long, b long")
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, np.ndarray, np.ndarray]]]]:
@@ -518,6 +520,8 @@ def _verified(texts: DataFrame, meta: DataFrame, pairs: DataFrame, n: int, theta
             both = int((gy[at] == gx).sum())
             sim[i] = both / (len(gx) + len(gy) - both)
         keep = sim >= theta
+        grams.clear()
+        tokens.release()
         return pd.DataFrame({"a": np.array(a, dtype=np.int64)[keep], "b": np.array(b, dtype=np.int64)[keep], "jaccard": sim[keep]})
 
     sketches = meta.select("set", "size", "bits").dropDuplicates(["set"])
@@ -558,7 +562,7 @@ def similar_sets(docs: DataFrame, n: int = N, theta: float = THETA) -> tuple[Dat
     canon = every.groupBy("set").agg(F.min("check").alias("check"))
     meta = cut(every.join(canon, ["set", "check"]).dropDuplicates(["h", "c"]).select("h", "c", "set", "size", "bits"))
     drop(scan)
-    lists = index.repartition("sig").sortWithinPartitions("sig").mapInArrow(_lists, "least long, split int, sets array<long>, sizes array<int>")
+    lists = index.repartition("sig").sortWithinPartitions("sig").mapInArrow(tokens.tidy(_lists), "least long, split int, sets array<long>, sizes array<int>")
     pairs = cut(_candidates(lists, theta))
     drop(index)
     near = _verified(texts, meta, pairs, n, theta)

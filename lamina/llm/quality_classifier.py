@@ -132,7 +132,9 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     ``docs`` without its text: the statistics are taken once and kept, so that
     training and scoring don't read texts again. Null and empty texts have
     statistics of 0 and are scored like any other. Extra columns stay; one
-    named quality_score is replaced. Equal texts score alike.
+    named quality_score is replaced. Equal texts score alike, and a score of
+    exactly ``threshold`` is kept. Statistics are of whole texts, whatever their
+    length; an empty table gives an empty one, and without labels all score 0.
     """
     stats = "__lamina_stats"
     features = cut(docs.drop("quality_score").withColumn(stats, text_stats(F.col("text"))).drop("text"))

@@ -81,9 +81,10 @@ def fit(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, dict]:
 def score(docs: DataFrame) -> DataFrame:
     """``docs`` with ``p_quality``, the posterior probability that the document is good.
 
-    Null and empty texts vote as texts of no words. Extra columns stay, but a
-    column named ``p_quality`` is replaced. Equal texts score alike; an empty
-    table gives an empty table.
+    Null and empty texts vote as texts of no words. Statistics are of whole
+    texts, whatever their length. Extra columns stay, but a column named
+    ``p_quality`` is replaced. Equal texts score alike; an empty table gives an
+    empty table.
     """
     spark = docs.sparkSession
     vote = "__lamina_votes"
