@@ -18,15 +18,17 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lamina.llm import tokens
 from lamina.llm.common import documents
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits text into the pieces inside which symbols merge.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words whose ids a worker remembers. Half of them make a generation; words not met for one are forgotten, so this bounds memory, not results.
-REMEMBERED = 500_000
+#: Bytes of words, with their ids and what a dictionary adds, that a worker remembers, and of the longest such word. Half of them make a generation; words not met for one are forgotten, so this bounds memory, not results.
+REMEMBERED, LONGEST, ENTRY = 96 << 20, 64, 200
 #: Bytes of text to encode before a batch of results is handed on.
 BATCH = 1 << 20
 
@@ -51,6 +53,7 @@ class Bpe:
         self.pattern = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        self.held = 0
         self.awkward = re.compile(r" \s| $")
 
     def merge(self, piece: bytes) -> list[int]:
@@ -88,9 +91,12 @@ class Bpe:
             plain = word[1:].isalpha() and (word[0] == " " or word[0].isalpha())
             pieces = (word,) if plain else self.pattern.findall(word)
             ids = array("i", chain.from_iterable([self.merge(p.encode("utf-8")) for p in pieces])).tobytes()
-        if len(self.known) >= REMEMBERED // 2:
-            self.before, self.known = self.known, {}
+        if len(word) > LONGEST:
+            return ids
+        if self.held >= REMEMBERED // 2:
+            self.before, self.known, self.held = self.known, {}, 0
         self.known[word] = ids
+        self.held += len(word) + len(ids) + ENTRY
         return ids
 
     def encode(self, text: str) -> np.ndarray:
@@ -130,7 +136,9 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text") ->
     """``docs`` with ids, n_tokens and round_trip (whether decoding the ids gives the text again) for column ``text``.
 
     ``text`` itself is dropped. A null text has null in all three; an empty one
-    has no ids. Extra columns stay, but those of the added names are replaced.
+    has no ids. Equal texts have equal ids; texts are encoded whole, whatever
+    their length. Extra columns stay, but those of the added names are replaced.
+    An empty table gives an empty one.
     The vocabulary's path must be readable on every executor.
     """
     names = {f.name for f in ADDED}
@@ -158,12 +166,12 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text") ->
                 yield pa.RecordBatch.from_arrays([*columns, lists, pa.array(counts, pa.int32()), pa.array(same, pa.bool_())], names=schema.names)
                 start = stop
 
-    return docs.select(*[f.name for f in kept], text).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{f.name}`") for f in kept], text).mapInArrow(tokens.tidy(run), schema)
 
 
-def decode(tokens: DataFrame, vocabulary: str = VOCABULARY, ids: str = "ids") -> DataFrame:
-    """``tokens`` with column ``text`` decoded from ``ids``, which is dropped; null ids give null. An unknown id is an error."""
-    kept = [f for f in tokens.schema.fields if f.name not in (ids, "text")]
+def decode(coded: DataFrame, vocabulary: str = VOCABULARY, ids: str = "ids") -> DataFrame:
+    """``coded`` with column ``text`` decoded from ``ids``, which is dropped; null ids give null. An unknown id is an error."""
+    kept = [f for f in coded.schema.fields if f.name not in (ids, "text")]
     schema = T.StructType([*kept, T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +181,7 @@ def decode(tokens: DataFrame, vocabulary: str = VOCABULARY, ids: str = "ids") ->
             texts = pa.array([None if x is None else bpe.decode(x) for x in lists], pa.string())
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(f.name)) for f in kept], texts], names=schema.names)
 
-    return tokens.select(*[f.name for f in kept], ids).mapInArrow(run, schema)
+    return coded.select(*[F.col(f"`{f.name}`") for f in kept], ids).mapInArrow(tokens.tidy(run), schema)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
