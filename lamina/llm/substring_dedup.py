@@ -4,8 +4,8 @@ A span is a run of SPAN or more words. It is removed from a document if each
 of its SPAN-word windows is also in a document of a smaller doc_id; so the
 first document keeps the passage.
 
-Exact copies of a text are told by its hash: all but the first are repeated as
-a whole. The other texts go through these steps:
+Exact copies of a text are told by 96 bits of hashes: all but the first are
+repeated as a whole. The other texts go through these steps:
 
 1. Winnowed fingerprints: of PRINT-word hashes, the least in each window of
    SPAN - PRINT + 1 is taken. So two equal passages of SPAN words share one,
@@ -176,7 +176,7 @@ def _prints(keyed: DataFrame, span: int, size: int, columns: list[str]) -> DataF
                 own = [batch.column(batch.schema.get_field_index(c)).take(owner) for c in columns]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), *own], names=names)
 
-    return keyed.mapInArrow(run, schema)
+    return keyed.mapInArrow(tokens.tidy(run), schema)
 
 
 def _regions(marked: DataFrame, span: int, size: int) -> DataFrame:
@@ -200,7 +200,7 @@ def _regions(marked: DataFrame, span: int, size: int) -> DataFrame:
             if out[0]:
                 yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in out[:3]], _lists(out[3])], names=["id", "hash", "start", "words"])
 
-    return marked.mapInArrow(run, "id long, hash long, start long, words array<long>")
+    return marked.mapInArrow(tokens.tidy(run), "id long, hash long, start long, words array<long>")
 
 
 def _windows(regions: DataFrame, span: int) -> DataFrame:
@@ -211,7 +211,7 @@ def _windows(regions: DataFrame, span: int) -> DataFrame:
             if len(ids):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(w).view(np.int64)), pa.array(ids)], names=["window", "id"])
 
-    return regions.select("id", "words").mapInArrow(run, "window long, id long")
+    return regions.select("id", "words").mapInArrow(tokens.tidy(run), "window long, id long")
 
 
 def _owned(regions: DataFrame, first: DataFrame, span: int) -> DataFrame:
@@ -232,7 +232,7 @@ def _owned(regions: DataFrame, first: DataFrame, span: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(bits, pa.binary())], names=["id", "hash", "start", "words", "owned"])
 
     joined = regions.join(first.hint("shuffle_hash"), "id", "left").select("id", "hash", "start", "words", "first")
-    return joined.mapInArrow(run, "id long, hash long, start long, words array<long>, owned binary")
+    return joined.mapInArrow(tokens.tidy(run), "id long, hash long, start long, words array<long>, owned binary")
 
 
 def _bits(packed: bytes, n: int) -> np.ndarray:
@@ -253,7 +253,7 @@ def _passages(regions: DataFrame, span: int) -> DataFrame:
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(out)], names=["id", "words"])
 
-    return regions.select("id", "words", "owned").mapInArrow(run, "id long, words array<long>")
+    return regions.select("id", "words", "owned").mapInArrow(tokens.tidy(run), "id long, words array<long>")
 
 
 def _whole(copies: DataFrame, span: int) -> DataFrame:
@@ -266,15 +266,15 @@ def _whole(copies: DataFrame, span: int) -> DataFrame:
             found = [batch.column(0), batch.column(1), pa.array(np.zeros(len(n), dtype=np.int64)), pa.array(n)]
             yield pa.RecordBatch.from_arrays([c.filter(keep) for c in found], names=["id", "hash", "from", "to"])
 
-    return copies.select("id", "hash", "text").mapInArrow(run, "id long, hash long, `from` long, `to` long")
+    return copies.select("id", "hash", "text").mapInArrow(tokens.tidy(run), "id long, hash long, `from` long, `to` long")
 
 
 def spans(docs: DataFrame, span: int = SPAN, size: int = PRINT) -> DataFrame:
     """(id, hash, spans): word ranges [from, to) to remove from the texts of that order and hash."""
-    keyed = docs.filter("text is not null").select(_order().alias("id"), F.xxhash64("text").alias("hash"), "text")
-    several = keyed.groupBy("hash").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("hash", "lo")
+    keyed = docs.filter("text is not null").select(_order().alias("id"), F.xxhash64("text").alias("hash"), F.crc32("text").alias("crc"), "text")
+    several = keyed.groupBy("hash", "crc").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("hash", "crc", "lo")
     several = if_small(cut(several), MARKS)
-    known = keyed.join(several, "hash", "left")
+    known = keyed.join(several, ["hash", "crc"], "left")
     keyed = known.filter("lo is null or id = lo").select("id", "hash", "text")
     copies = known.filter("id > lo")
 
@@ -282,7 +282,7 @@ def spans(docs: DataFrame, span: int = SPAN, size: int = PRINT) -> DataFrame:
     found = _prints(keyed, span, size, ["id", "hash"])
     found = found.withColumns({"lo": F.min("id").over(by_print), "hi": F.max("id").over(by_print)}).filter("lo < hi")
     marks = cut(found.groupBy("id", "hash").agg(F.collect_list("print").alias("prints")))
-    marked = keyed.join(if_small(marks, MARKS), ["id", "hash"])
+    marked = keyed.join(if_small(marks, MARKS, 8 * F.size("prints")), ["id", "hash"])
     bare = cut(_regions(marked.select("id", "hash", "prints", "text"), span, size))
     drop(marks)
 
@@ -353,7 +353,7 @@ def substring_dedup(docs: DataFrame, span: int = SPAN, size: int = PRINT) -> Dat
     """
     docs = docs.drop("removed_words")
     found = cut(spans(docs, span, size))
-    marks = if_small(found, MARKS).select(F.col("id").alias("__lamina_id"), F.col("hash").alias("__lamina_hash"), F.col("spans").alias("__lamina_spans"))
+    marks = if_small(found, MARKS, 16 * F.size("spans")).select(F.col("id").alias("__lamina_id"), F.col("hash").alias("__lamina_hash"), F.col("spans").alias("__lamina_spans"))
     marked = docs.withColumns({"__lamina_o": _order(), "__lamina_h": F.xxhash64("text")})
     marked = marked.join(marks, (F.col("__lamina_o") == F.col("__lamina_id")) & (F.col("__lamina_h") == F.col("__lamina_hash")), "left")
 
