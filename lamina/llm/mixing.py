@@ -56,7 +56,7 @@ def pivotal(p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
 
 def _duel(seed: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["site", "key_id", "key_hash"], na_position="last", kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["site", "key", "more"], kind="stable").reset_index(drop=True)
         name = f"{seed}/{pdf['level'][0]}/{pdf['site'][0]}/{pdf['node'][0]}"
         rng = np.random.default_rng(int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "big"))
         return pdf.assign(p=pivotal(pdf["p"].to_numpy(), rng))
@@ -64,23 +64,33 @@ def _duel(seed: int):
     return run
 
 
-def _row_key(docs: DataFrame) -> Column:
-    """64 bits of all columns that can be hashed."""
-    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if not f.dataType.simpleString().startswith("map")])
+def _row_key(docs: DataFrame) -> tuple[Column, Column]:
+    """Twice 64 bits of all columns. Nulls count, in nested columns too, and maps by their entries in order."""
+
+    def parts(f) -> list[Column]:
+        c = F.col(f"`{f.name}`")
+        if any(k in f.dataType.simpleString() for k in ("map<", "array<", "struct<", "variant")):
+            c = F.to_json(F.struct(c.alias("c")), {"ignoreNullFields": "false"})
+        return [c.isNull(), c]
+
+    every = [p for f in docs.schema.fields for p in parts(f)]
+    return F.xxhash64(*every), F.xxhash64(F.lit(20), *every)
 
 
 def copies(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, source: str = "source", seed: int = SEED) -> DataFrame:
-    """(key_id, key_hash, site, copies): copies of each different row of ``docs``.
+    """(key, more, doc_id, site, rows, copies): copies of each different row of ``docs``, which key and more tell from others.
 
     ``weights`` are relative; sources they leave out get none. ``total`` is the
     number of rows of ``docs`` if not given. Rows of a null source are a source
     of their own, named by "" in ``weights``. Equal rows are one unit with the
-    mass of all. doc_id may be null or repeated. No rows give no rows.
+    mass of all, ``rows`` of them. doc_id may be null, repeated, or absent, which
+    is as if null. No rows give no rows.
     """
-    site = F.coalesce(F.col(source).cast("string"), F.lit(""))
-    key_id = F.col("doc_id").cast("long") if "doc_id" in docs.columns else F.lit(None).cast("long")
-    units = docs.select(key_id.alias("key_id"), _row_key(docs).alias("key_hash"), site.alias("site"))
-    units = cut(units.groupBy("key_id", "key_hash", "site").agg(F.count("*").alias("rows")))
+    site = F.coalesce(F.col(f"`{source}`").cast("string"), F.lit(""))
+    doc_id = F.col("doc_id").cast("long") if "doc_id" in docs.columns else F.lit(None).cast("long")
+    key, more = _row_key(docs)
+    units = docs.select(key.alias("key"), more.alias("more"), doc_id.alias("doc_id"), site.alias("site"))
+    units = cut(units.groupBy("key", "more", "doc_id", "site").agg(F.count("*").alias("rows")))
     sizes = units.groupBy("site").agg(F.sum("rows").alias("n"))
     if weights is None:
         weighed = sizes.withColumn("w", F.pow("n", F.lit(DAMPING)))
@@ -96,12 +106,12 @@ def copies(docs: DataFrame, weights: dict[str, float] | None = None, total: int
     whole = F.floor(F.col("e") + _EPS)
     start = cut(
         e.select(
-            "key_id", "key_hash", "site", whole.alias("whole"), F.greatest(F.lit(0.0), F.col("e") - whole).alias("p"),
-            F.pmod(F.xxhash64("key_id", "key_hash"), F.ceil(F.col("n") / LEAF)).alias("node"),
+            "key", "more", "doc_id", "site", "rows", whole.alias("whole"), F.greatest(F.lit(0.0), F.col("e") - whole).alias("p"),
+            F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / LEAF)).alias("node"),
         )
     )
-    shape = "key_id long, key_hash long, site string, p double, node long, level int"
-    names = ["key_id", "key_hash", "site", "p", "node", "level"]
+    names = ["key", "more", "site", "p", "node", "level"]
+    shape = "key long, more long, site string, p double, node long, level int"
     level, nodes = 0, max(1, -(-largest // LEAF))
     open_, taken = start.withColumn("level", F.lit(0)).select(*names), []
     fractional = (F.col("p") > 0) & (F.col("p") < 1)
@@ -109,7 +119,7 @@ def copies(docs: DataFrame, weights: dict[str, float] | None = None, total: int
         # Within a source first; its last residual then meets those of other sources.
         across = level and nodes == 0
         done = cut(open_.groupBy(*(["node"] if across else ["site", "node"])).applyInPandas(_duel(seed), shape))
-        taken.append(done.filter("p = 1").select("key_id", "key_hash", "site"))
+        taken.append(done.filter("p = 1").select("key", "more"))
         rest = done.filter(fractional)
         level += 1
         if nodes > 1:
@@ -121,15 +131,16 @@ def copies(docs: DataFrame, weights: dict[str, float] | None = None, total: int
         if left <= 1:
             break
         open_ = rest.withColumn("node", F.pmod(F.xxhash64("site", F.lit(level)), F.lit(-(-left // FAN)))).withColumn("level", F.lit(level)).select(*names)
-    final = [(r["key_id"], r["key_hash"], r["site"]) for r in rest.collect() if _coin(seed) < r["p"]]
+    final = [(r["key"], r["more"]) for r in rest.collect() if _coin(seed) < r["p"]]
     if final:
-        taken.append(docs.sparkSession.createDataFrame(final, "key_id long, key_hash long, site string"))
+        taken.append(docs.sparkSession.createDataFrame(final, "key long, more long"))
     ups = taken[0]
     for t in taken[1:]:
         ups = ups.unionByName(t)
-    one = ups.select("key_id", "key_hash", "site", F.lit(1).alias("c"))
-    base = start.select("key_id", "key_hash", "site", F.col("whole").alias("c"))
-    return base.unionByName(one).groupBy("key_id", "key_hash", "site").agg(F.sum("c").cast("int").alias("copies"))
+    # Each unit wins once at most.
+    up = ups.withColumn("up", F.lit(1))
+    found = start.join(up, ["key", "more"], "left").withColumn("copies", (F.col("whole") + F.coalesce("up", F.lit(0))).cast("int"))
+    return found.select("key", "more", "doc_id", "site", "rows", "copies")
 
 
 def _coin(seed: int) -> float:
@@ -137,20 +148,26 @@ def _coin(seed: int) -> float:
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, source: str = "source", seed: int = SEED) -> DataFrame:
-    """``docs`` with each row as many times as ``copies`` says; its columns stay."""
-    marks = cut(copies(docs, weights, total, source, seed).filter("copies > 0"))
-    many = cut(docs.select(_row_key(docs).alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
-    marks = if_small(marks.select(F.col("key_hash").alias("__lamina_h"), F.col("copies").alias("__lamina_c")))
-    keyed = docs.withColumn("__lamina_h", _row_key(docs))
-    if many.limit(1).count():
+    """``docs`` with each different row as many times as ``copies`` says; its columns stay as they are, whatever their names.
+
+    Nulls in any column, empty and very long texts and maps make a row no less a
+    row. Equal rows come as often as their common mass asks. An empty table
+    stays empty.
+    """
+    found = cut(copies(docs, weights, total, source, seed).filter("copies > 0"))
+    key, more = _row_key(docs)
+    keyed = docs.withColumns({"__lamina_k": key, "__lamina_m": more})
+    names = ["__lamina_k", "__lamina_m"]
+    twice = cut(found.filter("rows > 1").select(F.col("key").alias(names[0]), F.col("more").alias(names[1])))
+    if twice.limit(1).count():
         # Of equal rows one stands for all.
-        twice = if_small(many.withColumnRenamed("h", "__lamina_h"))
-        single = keyed.join(twice, "__lamina_h", "left_anti")
-        keyed = single.unionByName(keyed.join(twice, "__lamina_h", "left_semi").dropDuplicates(["__lamina_h"]))
-    return keyed.join(marks, "__lamina_h").withColumn("__lamina_c", F.explode(F.expr("array_repeat(1, __lamina_c)"))).select(*docs.columns)
+        held = if_small(twice)
+        keyed = keyed.join(held, names, "left_anti").unionByName(keyed.join(held, names, "left_semi").dropDuplicates(names))
+    marks = if_small(found).select(F.col("key").alias(names[0]), F.col("more").alias(names[1]), F.col("copies").alias("__lamina_c"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return keyed.join(marks, names).withColumn("__lamina_c", F.explode(F.expr("array_repeat(1, __lamina_c)"))).select(*columns)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Copies of every document, none too, for sources weighed by the square root of their size."""
-    found = copies(documents(spark, sf_dir).select("doc_id", "source"))
-    return found.select(F.col("key_id").alias("doc_id"), F.col("site").alias("source"), "copies")
+    """The mixture of all documents, for sources weighed by the square root of their size."""
+    return mix(documents(spark, sf_dir))
