@@ -23,8 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pages to train on at most: those of the least hashes.
-TRAIN_PAGES = 400
+from lamina.llm import tokens
+
+#: Pages to train on at most, those of the least hashes, and characters of a page that may be one of them.
+TRAIN_PAGES, TRAIN_CHARS = 400, 200_000
 #: Hashed dimensions of the tag path and of words, further numbers, units a direction.
 PATH, WORDS, NUMBERS, UNITS = 48, 48, 6, 16
 EPOCHS, RATE, HIDE, SEED = 8, 0.01, 0.7, 5
@@ -33,9 +35,14 @@ KEEP = 0.5
 #: Bytes of HTML labelled at once.
 CHUNK = 4 << 20
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)", re.S)
+#: A tag without angle brackets in its attributes, which is the common case: never read beyond the next of them.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']++|"[^<>"]*+"|'[^<>']*+')*+)>""")
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile("[>\"']")
 _CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe"}
+_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "textarea", "svg", "iframe")}
+#: What a head may hold; any other tag, or text, ends it.
+_HEAD = {"title", "meta", "link", "base"}
 _VOID = {"br", "hr", "img", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr"}
 _INLINE = {
     "a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s",
@@ -48,89 +55,172 @@ _OTHER = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
 _AD = re.compile(r"(?:^|[-_ ])(?:ad|ads|advert|banner|sponsor|promo|cookie|menu|sidebar|share|social|related)(?:$|[-_ ])", re.I)
 
 
+class Open:
+    """An open tag and all that its blocks need to know of those above: hashed path, with and without what silver() goes by, and what it says."""
+
+    __slots__ = ("above", "block", "content", "dropped", "hidden", "names", "other", "shown", "tag")
+
+    def __init__(self, tag: str, names: tuple[str, ...], above: Open | None):
+        self.tag, self.names, self.above = tag, names, above
+        self.shown, self.hidden, self.content, self.other = (above.shown, above.hidden, above.content, above.other) if above else (0, 0, False, False)
+        self.dropped = tag in ("head", "title") or bool(above and above.dropped)
+        self.block = above.block if above and tag in _INLINE else self
+        if tag in _INLINE:
+            return
+        bit = 1 << _place(tag)
+        self.shown |= bit
+        for n in names:
+            self.shown |= 1 << _place("." + n)
+        if tag in _OTHER or any(map(_AD.search, names)):
+            self.other = True
+        if tag in _CONTENT:
+            self.content = True
+        if tag not in _CONTENT and tag not in _OTHER:
+            self.hidden |= bit
+
+
+@lru_cache(maxsize=100_000)
+def _place(word: str) -> int:
+    return crc32(word.encode("utf-8", "surrogatepass")) % PATH
+
+
 @dataclass
 class Block:
-    """path: open tags and their class words; linked: share of characters in links."""
+    """under: the innermost open tag; linked: share of characters in links."""
 
-    path: tuple[str, ...]
+    under: Open | None
     text: str
     linked: float
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        """Open tags, each with its class words."""
+        out, now = [], self.under
+        while now:
+            if now.tag not in _INLINE:
+                out.append((now.tag, *("." + n for n in now.names)))
+            now = now.above
+        return tuple(x for part in reversed(out) for x in part)
+
+
+def _end(page: str, at: int, dead: set[int]) -> int:
+    """Where the attributes from ``at`` on end, at the first > that no quotes hold; -1 if nowhere. dead: quotes, met outside of others, from which there is no end."""
+    met = []
+    while m := _STOP.search(page, at):
+        at = m.start()
+        if page[at] == ">":
+            return at
+        if at in dead:
+            break
+        met.append(at)
+        at = page.find(page[at], at + 1) + 1
+        if not at:
+            break
+    dead.update(met)
+    return -1
+
 
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks of a page in order. Open tags needn't be closed; scripts, styles and the head hold no blocks."""
+    """Leaf blocks of a page in order, in time that follows its length.
+
+    Tags needn't be closed: paragraphs, items, rows and cells end where the next
+    one begins, the head where something begins that can't be in it. Scripts,
+    styles, titles and the head hold no blocks. What can't be a tag is text.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    now: Open | None = None
+    open_: dict[str, int] = {}
     parts: list[str] = []
     size = link = anchors = 0
+    dead: set[int] = set()
 
     def flush() -> None:
         nonlocal parts, size, link
-        text = " ".join(" ".join(parts).split())
-        if text:
-            out.append(Block(tuple(x for x in stack_path()), text, link / max(size, 1)))
-        parts, size, link = [], 0, 0
-
-    def stack_path() -> Iterator[str]:
-        for tag, names in stack:
-            if tag not in _INLINE:
-                yield tag
-                yield from (f".{n}" for n in names.split())
-
-    at, end = 0, len(page)
+        if parts:
+            text = " ".join(" ".join(parts).split())
+            if text:
+                out.append(Block(now, text, link / max(size, 1)))
+            parts = []
+        size = link = 0
+
+    def shut(tag: str) -> None:
+        """Closes the innermost open ``tag``, of which there is one, and all in it."""
+        nonlocal now
+        while True:
+            done = now
+            open_[done.tag] -= 1
+            now = done.above
+            if done.tag == tag:
+                return
+
+    at, end, last = 0, len(page), page.rfind(">")
     while at < end:
-        m = _TOKEN.match(page, at)
-        if not m:  # an unclosed tag
-            break
-        at = m.end()
-        closing, tag, rest, text = m.groups()
+        lt = page.find("<", at)
+        if lt != at:
+            text, at = page[at : lt if lt >= 0 else end], lt if lt >= 0 else end
+        elif page.startswith("<!--", at):
+            stop = page.find("-->", at + 4)
+            at = stop + 3 if stop >= 0 else end
+            continue
+        elif m := _TAG.match(page, at):
+            text, at = None, m.end()
+            closing, tag, rest = m.groups()
+        elif at > last:
+            text, at = "<", at + 1
+        elif m := _NAME.match(page, at):
+            stop = _end(page, m.end(), dead)
+            if stop < 0:
+                text, at = "<", at + 1
+            else:
+                text, (closing, tag), rest, at = None, m.groups(), page[m.end() : stop], stop + 1
+        elif page.startswith(("<!", "<?"), at):
+            at = page.find(">", at) + 1
+            continue
+        else:
+            text, at = "<", at + 1
         if text is not None:
-            if any(t == "head" for t, _ in stack[-3:]):
-                continue
+            if now and now.dropped:
+                if now.tag != "head" or open_.get("title") or text.isspace():
+                    continue
+                shut("head")
             text = html.unescape(text)
             parts.append(text)
             n = len(text.strip())
             size += n
             link += n if anchors else 0
             continue
-        if tag is None:
-            continue
         tag = tag.lower()
-        if tag in _RAW and not closing:
-            stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+        if not closing and tag in _RAW:
+            stop = _RAW[tag].search(page, at)
             at = stop.end() if stop else end
             continue
-        if tag == "br" or tag not in _INLINE:
+        inline = tag in _INLINE
+        if not inline or tag == "br":
             flush()
         if tag == "a":
             anchors = max(0, anchors + (-1 if closing else 1))
+        if open_.get("head") and tag not in _HEAD and not closing:
+            shut("head")
         if tag in _VOID:
             continue
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-        else:
-            if tag in _CLOSES:
-                shut = _CLOSES[tag]
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in shut:
-                        del stack[i:]
-                        break
-                    if stack[i][0] not in _INLINE:
-                        break
-            found = _CLASS.findall(rest) if "=" in rest else ()
-            stack.append((tag, " ".join(x for f in found for x in f if x)))
+            if open_.get(tag):
+                shut(tag)
+            continue
+        if tag in _CLOSES and now and now.block.tag in _CLOSES[tag]:
+            shut(now.block.tag)
+        names = tuple(n for f in _CLASS.findall(rest) for x in f for n in x.split()) if "=" in rest else ()
+        now = Open(tag, names, now)
+        open_[tag] = open_.get(tag, 0) + 1
     flush()
     return out
 
 
-def silver(path: tuple[str, ...]) -> int | None:
+def silver(block: Block) -> int | None:
     """1 for content, 0 for other blocks by the page's own semantic tags; None where it has none."""
-    if any(t in _OTHER or t[0] == "." and _AD.search(t[1:]) for t in path):
-        return 0
-    return 1 if any(t in _CONTENT for t in path) else None
+    if block.under is None:
+        return None
+    return 0 if block.under.other else 1 if block.under.content else None
 
 
 @lru_cache(maxsize=100_000)
@@ -142,11 +232,10 @@ def _bucket(word: str) -> tuple[int, float]:
 def vectors(page: list[Block], hidden: bool = False) -> np.ndarray:
     """A row for each block. hidden: without the tags that silver() goes by."""
     out = np.zeros((len(page), PATH + WORDS + NUMBERS), dtype=np.float32)
+    paths = np.fromiter(((b.under.hidden if hidden else b.under.shown) if b.under else 0 for b in page), dtype=np.uint64, count=len(page))
+    out[:, :PATH] = paths[:, None] >> np.arange(PATH, dtype=np.uint64) & np.uint64(1)
     for i, b in enumerate(page):
         row = out[i]
-        for t in b.path:
-            if not hidden or (t not in _CONTENT and t not in _OTHER and t[0] != "."):
-                row[crc32(t.encode("utf-8", "surrogatepass")) % PATH] = 1
         words = b.text.split()
         for w in words:
             j, sign = _bucket(w)
@@ -256,7 +345,7 @@ def train(pages: list[str]) -> Labeller:
     examples = []
     for page in pages:
         found = blocks(page or "")
-        y = [silver(b.path) for b in found]
+        y = [silver(b) for b in found]
         if any(v is not None for v in y):
             examples.append((vectors(found), vectors(found, True), np.array([v or 0 for v in y], dtype=np.float32), np.array([v is not None for v in y], dtype=np.float32)))
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
@@ -298,8 +387,8 @@ def label(model: Labeller, pages: list[list[Block]]) -> list[np.ndarray]:
 
 
 def _sample(pages: DataFrame, column: str, most: int = TRAIN_PAGES) -> list[str]:
-    """The ``most`` pages of the least hashes. Partitions send only pages below a bound that about three times as many pass."""
-    hashed = pages.select(F.xxhash64(column).alias("h"), column).filter(f"`{column}` is not null")
+    """The ``most`` pages of the least hashes, of those of TRAIN_CHARS characters at most. Partitions send only pages below a bound that about three times as many pass."""
+    hashed = pages.select(F.xxhash64(column).alias("h"), column).filter(F.length(column) <= TRAIN_CHARS)
     share = min(1.0, 3 * most / max(1, pages.count()))
     while True:
         low = hashed if share == 1 else hashed.filter(F.col("h") < int(share * 2**64) - 2**63)
@@ -309,16 +398,19 @@ def _sample(pages: DataFrame, column: str, most: int = TRAIN_PAGES) -> list[str]
         share = min(1.0, 8 * share)
 
 
-def extract(pages: DataFrame, keep: float = KEEP, column: str = "html") -> DataFrame:
+def extract(pages: DataFrame, keep: float = KEEP, column: str = "html", train_pages: int = TRAIN_PAGES) -> DataFrame:
     """``pages`` without ``column`` and with text (content blocks, one a line), n_blocks and n_content.
 
     A null page has null text and no blocks; an empty page, or one without
     blocks, has an empty text. Any mark-up is read: tags may be left open and
     what can't be a tag is text. Other columns stay, but those of the added
-    names are replaced. Equal pages give equal texts. The model is trained on
-    TRAIN_PAGES pages at most, which are of the least hashes of all of them.
+    names are replaced. Equal pages give equal texts, but for rounding in the
+    last place of a probability. Pages are read whole, whatever their length. An
+    empty table gives an empty one. The model is trained on ``train_pages`` pages
+    at most: those of the least hashes, of all that have TRAIN_CHARS characters
+    at most.
     """
-    model = train(_sample(pages, column))
+    model = train(_sample(pages, column, train_pages))
     bound = pages.sparkSession.sparkContext.broadcast(model)
     kept = [f for f in pages.schema.fields if f.name not in (column, "text", "n_blocks", "n_content")]
     schema = pages.select(*[f"`{f.name}`" for f in kept]).schema.add("text", T.StringType()).add("n_blocks", T.IntegerType()).add("n_content", T.IntegerType())
@@ -342,7 +434,7 @@ def extract(pages: DataFrame, keep: float = KEEP, column: str = "html") -> DataF
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array(counts, pa.int32()), pa.array(content, pa.int32())], names=schema.names)
                 start = stop
 
-    return pages.select(*[f"`{f.name}`" for f in kept], column).mapInArrow(run, schema)
+    return pages.select(*[f"`{f.name}`" for f in kept], column).mapInArrow(tokens.tidy(run), schema)
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
