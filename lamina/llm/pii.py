@@ -34,7 +34,7 @@ NEAR = 5
 #: Disclosure from which a term is generalised, or removed; meetings it must have; deviations of the interval.
 GENERALISE, REMOVE, MEETINGS, DEVIATIONS = 0.75, 0.9, 2, 2.58
 #: Terms that workers get to know; more are counted and looked up by joins instead, with the same words.
-TERMS = 2_000_000
+TERMS = 500_000
 
 _ENTITIES = [
     ("EMAIL", r"(?<![\w.+%-])[\w.+%-]+@[\w-]+(?:\.[\w-]+)+"),
@@ -54,17 +54,19 @@ _ANY = re.compile("|".join(f"(?P<{c}_{i}>{p})" for i, (c, p) in enumerate(_ENTIT
 #: Each form has a digit, an @, or one of these.
 _HINTS = (*"0123456789@", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox", "eyJ", "-----BEGIN")
 _KEYS = ("passw", "pwd", "secret", "token", "key", "auth")
+#: Digits of other scripts count as digits too.
+_DIGIT = re.compile(r"\d")
 _WORD = re.compile(r"\w+")
 
 
-def _terms(text: str) -> Iterator[str]:
+def _terms(text: str) -> list[str]:
     """The words of a text in lower case. Lower case comes last: it can split words and depends on what follows them."""
-    return iter(_WORD.findall(text.lower())) if text.isascii() else map(str.lower, _WORD.findall(text))
+    return _WORD.findall(text.lower()) if text.isascii() else list(map(str.lower, _WORD.findall(text)))
 
 
 def entities(text: str) -> list[tuple[int, int, str]]:
     """(from, to, class) of each protected entity, leftmost first, without overlaps."""
-    if not any(h in text for h in _HINTS):
+    if not any(h in text for h in _HINTS) and (text.isascii() or not _DIGIT.search(text)):
         low = text.lower()
         if not any(k in low for k in _KEYS):
             return []
@@ -124,26 +126,23 @@ def disclosing(docs: DataFrame, copies: bool = True) -> DataFrame:
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             count: dict[tuple[str, str], list[int]] = {}
-            words = 0
             for text in pdf["text"]:
                 if not text:
                     continue
-                words += len(text.split())
                 found = entities(text)
                 here = Counter((term, c) for _, _, term, classes in _near(text, found) for c in classes) if found else {}
                 name = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True) if here else 0
                 for key, n in here.items():
                     now = count.setdefault(key, [0, 0, name, name])
                     now[:] = now[0] + n, max(now[1], n), min(now[2], name), max(now[3], name)
-            yield pd.DataFrame([("", "", words, 0, 0, 0), *[(*k, *v) for k, v in count.items()]], columns=["term", "class", "n", "most", "low", "high"])
+            yield pd.DataFrame([(*k, *v) for k, v in count.items()], columns=["term", "class", "n", "most", "low", "high"])
 
     text = docs.select("text").filter("text is not null")
     shape = "term string, class string, n long, most long, low long, high long"
     totals = [F.sum("n").alias("n"), F.max("most").alias("most"), F.min("low").alias("low"), F.max("high").alias("high")]
     met = cut(text.mapInPandas(meet, shape).groupBy("term", "class").agg(*totals))
-    words = (met.filter("class = ''").agg(F.sum("n")).first()[0]) or 0
-    near = {r[0]: r[1] for r in met.filter("class <> ''").groupBy("class").agg(F.sum("n")).collect()}
-    often = met.filter(f"class <> '' and n >= {MEETINGS}")
+    near = {r[0]: r[1] for r in met.groupBy("class").agg(F.sum("n")).collect()}
+    often = met.filter(f"n >= {MEETINGS}")
     often = (often if copies else often.filter("most > 1 or low <> high")).select("term", "class", "n")
     names = often.select("term").distinct()
     known = None
@@ -153,18 +152,24 @@ def disclosing(docs: DataFrame, copies: bool = True) -> DataFrame:
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             count: Counter = Counter()
+            words = 0
             for text in pdf["text"]:
-                count.update(filter(known.value.__contains__, _terms(text)) if known else _terms(text))
-            yield pd.DataFrame(list(count.items()), columns=["term", "total"])
+                own = _terms(text)
+                words += len(own)
+                count.update(filter(known.value.__contains__, own) if known else own)
+            # No term is empty, so that name is free for the number of all words.
+            yield pd.DataFrame([("", words), *count.items()], columns=["term", "total"])
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             pdf["d"] = [disclosure(n, total, near[c], words) for n, total, c in zip(pdf["n"].tolist(), pdf["total"].tolist(), pdf["class"])]
             yield pdf.loc[pdf["d"] >= GENERALISE, ["term", "class", "d"]]
 
-    totals = text.mapInPandas(tally, "term string, total long").groupBy("term").agg(F.sum("total").alias("total"))
+    totals = cut(text.mapInPandas(tally, "term string, total long").groupBy("term").agg(F.sum("total").alias("total")))
+    words = (totals.filter("term = ''").agg(F.sum("total")).first()[0]) or 0
     out = cut(often.join(totals, "term").mapInPandas(judge, "term string, class string, d double"))
     drop(met)
+    drop(totals)
     return out
 
 
@@ -203,8 +208,10 @@ def sanitised(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` sanitised, and n_entities and n_terms, how many were replaced.
 
     Rows and other columns stay, but those of the added names are replaced.
-    Documents without entities and disclosing terms stay as they are. Null texts stay null, with 0 of
-    each; equal texts become equal.
+    Documents without entities and disclosing terms stay as they are. Null texts
+    stay null, with 0 of each; equal texts become equal. Texts are read whole,
+    whatever their length. A term of exactly GENERALISE is generalised, one of
+    exactly REMOVE removed. An empty table gives an empty one.
     """
     docs = docs.drop("n_entities", "n_terms")
     strong = cut(disclosing(docs, copies=False).groupBy("term").agg(F.max("d").alias("d")))

@@ -30,14 +30,25 @@ def test_clean_texts_stay(text):
     assert pii.sanitise(text, {}) == (text, 0, 0)
 
 
+@pytest.mark.parametrize("before", ["", "1 ", "x "])
+def test_digits_of_any_script_count_whatever_else_is_there(before):
+    assert [c for _, _, c in pii.entities(before + "(٠١١) ٤٥٦ ٧٨٩٠")] == ["PHONE"]
+
+
+def test_a_term_at_a_bound_goes():
+    known = {"zan": pii.GENERALISE, "tor": pii.REMOVE, "mid": pii.GENERALISE - 1e-9}
+    assert pii.sanitise("Zan tor mid", known) == ("[NAME]  mid", 0, 2)
+
+
 def brute(texts):
     """(term, class) meetings, words, and every term's count, by tokens of whole texts."""
     met, totals, words = Counter(), Counter(), 0
     for t in texts:
         if not t:
             continue
-        words += len(t.split())
-        totals.update(re.findall(r"\w+", t.lower()))
+        own = re.findall(r"\w+", t.lower())
+        words += len(own)
+        totals.update(own)
         found = pii.entities(t)
         near = {}
         for a, b, c in found:
