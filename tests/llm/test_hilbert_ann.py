@@ -66,21 +66,43 @@ def test_ties_go_to_the_smaller_id(spark, k):
 
 @pytest.mark.parametrize("pairs", [True, False])
 def test_recall_of_tiny_blocks(spark, monkeypatch, pairs):
-    """Blocks of 0.1 % of the table, in vectors without structure: the reach must grow with the table. Once with all pairs ruled out."""
+    """Blocks of 0.4 % of the table, in vectors without structure: the reach must grow with the table. Once with all pairs ruled out."""
     monkeypatch.setattr(hilbert_ann, "COPY", 0)
     if not pairs:
-        monkeypatch.setattr(hilbert_ann, "choose", lambda gaps, n, block: choose(gaps, 10 * n, block)[:3] + (0,))
+        monkeypatch.setattr(hilbert_ann, "choose", lambda gaps, n, block, share: choose(gaps, 10 * n, block, share)[:3] + (0,))
     rng = np.random.default_rng(3)
     x = rng.standard_normal((6_000, 64)).astype(np.float32)
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], SHAPE)
-    got = found(nearest(table, block=6))
-    ids, some = np.arange(len(x)), rng.choice(len(x), 300, replace=False)
+    got = found(nearest(table, block=24, asks="vec_id % 20 = 0"))
+    ids, some = np.arange(len(x)), np.arange(0, len(x), 20)
     unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
     sim = np.round(unit[some] @ unit.T, 6)
     sim[np.arange(len(some)), some] = -2
     want = [set(np.lexsort((ids, -s))[:10].tolist()) for s in sim]
     recall = np.mean([len(w & set(got[i])) / 10 for i, w in zip(some.tolist(), want)])
-    assert len(got) == len(x) and recall >= 0.9, recall
+    assert len(got) == len(some) and recall >= 0.9, recall
+
+
+def test_curves_follow_structure(spark, monkeypatch):
+    """Vectors on a surface of two dimensions, in 94 blocks: a quarter of all comparisons at most, and the recall."""
+    taken = []
+    monkeypatch.setattr(hilbert_ann, "COPY", 0)
+    monkeypatch.setattr(hilbert_ann, "choose", lambda *args: taken.append(choose(*args)) or taken[0])
+    rng = np.random.default_rng(6)
+    at = rng.random((12_000, 2)) * 2
+    x = np.concatenate([np.sin(at @ rng.standard_normal((2, 32))), np.cos(at @ rng.standard_normal((2, 32)))], axis=1).astype(np.float32)
+    x[-50:] = x[0]  # equal vectors
+    got = found(nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], SHAPE), block=128, asks="vec_id % 20 = 0"))
+    curves, block, reach, _ = taken[0]
+    assert curves * (2 * reach + 1) * block <= len(x) / 4
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    recall = []
+    for i in range(20, len(x), 20):
+        sim = np.round(unit @ unit[i], 6)
+        sim[i] = -2
+        least = np.sort(sim)[-10]
+        recall.append(np.mean([sim[j] >= least for j in got[i]]))
+    assert len(got) == 600 and np.mean(recall) >= 0.9, np.mean(recall)
 
 
 def test_settings_keep_the_recall_at_every_size():
