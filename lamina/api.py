@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, Row, SparkSession
 
 from lamina.config import ChunkerConfig
 from lamina.errors import InputValidationError
+from lamina.functions.text import normalized
 from lamina.operators import chunking, corpus
 from lamina.operators.metrics import MetricsCollector, StructuredLogger, runs_of, timer
-from lamina.operators.providers import Provider
+from lamina.operators.providers import Provider, chat, embedder
 from lamina.sources import readers
 from lamina.streaming import stream
 
@@ -97,18 +98,24 @@ class AsyncSemanticChunker:
             yield r
 
 
-def register_sql(spark: SparkSession, config: ChunkerConfig | None = None, name: str = "chunk_text") -> None:
-    """Makes ``name(text)`` a table function for SQL: SELECT c.* FROM docs, LATERAL chunk_text(docs.text) c."""
+def register_sql(
+    spark: SparkSession, config: ChunkerConfig | None = None, name: str = "chunk_text", provider: Provider | None = None, ask: Callable | None = None
+) -> None:
+    """Makes ``name(text)`` a table function for SQL, of the chunks and offsets that ``chunk`` gives: SELECT c.* FROM docs, LATERAL chunk_text(docs.text) c."""
     from pyspark.sql.functions import udtf
 
     chosen = config or ChunkerConfig()
     chosen.validate()
+    if chosen.strategy == "semantic" or chosen.compute_coherence_score:
+        provider = provider or embedder(chosen)
+    if chosen.strategy == "agentic":
+        ask = ask or chat
 
     @udtf(returnType="chunk_index: int, start_char: int, end_char: int, text: string")
     class ChunkText:
         def eval(self, text: str):
-            if text and text.strip():
-                for p in chunking.chunk_text(text.strip(), chosen)["pieces"]:
+            if text:
+                for p in chunking.chunk_text(normalized(text), chosen, provider, ask, counts=False)["pieces"]:
                     yield p["chunk_index"], p["start_char"], p["end_char"], p["text"]
 
     spark.udtf.register(name, ChunkText)

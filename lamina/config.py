@@ -25,6 +25,15 @@ INERT = {
     "progress_callback": None,
     "lazy_load_embeddings": True,
     "lazy_load_nlp_tools": True,
+    # Embeddings are kept by embed(cache=) and sinks.save_embeddings; telling a language costs less than finding it in a cache.
+    "enable_embedding_cache": True,
+    "embedding_cache_size": 10000,
+    "enable_language_cache": True,
+    "language_cache_size": 5000,
+    "persist_cache_to_disk": False,
+    "cache_dir": None,
+    "verbose": False,
+    "preload_components": [],
 }
 
 

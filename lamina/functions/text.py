@@ -8,6 +8,7 @@ same here, in Python and in SQL.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -90,6 +91,19 @@ def normalize_text(x: Column, form: str | None = "NFC", control: bool = True, sp
     return strip(x)
 
 
+def _python(pattern: str) -> re.Pattern:
+    return re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", pattern))
+
+
+_CONTROL, _BLANKS, _ENDS = _python(CONTROL), _python(f"[{BLANK}]+"), _python(rf"\A[{WS}]+|[{WS}]+\Z")
+
+
+def normalized(text: str) -> str:
+    """normalize_text of a single text."""
+    text = _BLANKS.sub(" ", _CONTROL.sub("", unicodedata.normalize("NFC", text)))
+    return _ENDS.sub("", re.sub(r"\n{3,}", "\n\n", text))
+
+
 def normalize_arabic(x: Column, config: ChunkerConfig = ChunkerConfig()) -> Column:
     """Folding of Arabic letters and marks by the flags of ``config``, then clean_whitespace."""
     if config.arabic_remove_tashkeel:

@@ -24,14 +24,11 @@ def deduplicate(chunks: DataFrame, doc: str = "document_id", index: str = "chunk
 def deduplicate_batch(chunks: DataFrame, order: str = "document_id", index: str = "chunk_index") -> DataFrame:
     """First chunk of each text in all documents, by document and index.
 
-    A minimum by struct, not a window: hot texts are reduced before the shuffle,
-    and only keys of chunks travel.
+    One pass: a minimum by struct, not a window, so that hot texts are reduced
+    before the shuffle.
     """
-    first = chunks.groupBy("content_hash").agg(F.min(F.struct(F.col(order), F.col(index))).alias("f"))
-    keep = first.select("content_hash", F.col(f"f.{order}").alias("__lamina_d"), F.col(f"f.{index}").alias("__lamina_i"))
-    c = chunks.alias("c")
-    same = (F.col("c.content_hash") == keep["content_hash"]) & F.col(f"c.{order}").eqNullSafe(F.col("__lamina_d")) & F.col(f"c.{index}").eqNullSafe(F.col("__lamina_i"))
-    return c.join(keep, same, "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in chunks.columns])
+    return chunks.groupBy("content_hash").agg(F.min_by(row, F.struct(order, index)).alias("__lamina_row")).select("__lamina_row.*")
 
 
 def batch_with_empties(docs: DataFrame, kept: DataFrame, doc: str) -> DataFrame:
@@ -79,6 +76,18 @@ def language_distribution(chunks: DataFrame, by: list[str] | None = None) -> Dat
 
 
 def get_stats(chunks: DataFrame) -> DataFrame:
-    """chunk_stats of each document with its languages and strategy."""
-    first = chunks.groupBy("document_id").agg(F.min("strategy").alias("strategy"))
-    return chunk_stats(chunks).join(language_distribution(chunks), "document_id").join(first, "document_id")
+    """chunk_stats of each document with its languages and strategy, in one pass over the chunks."""
+    sizes = chunks.groupBy("document_id", "language", "token_count").agg(F.count("*").alias("c"), F.min("strategy").alias("strategy"))
+    w = Window.partitionBy("document_id")
+    below = F.sum("c").over(w.orderBy("token_count", "language").rowsBetween(Window.unboundedPreceding, 0))
+    placed = sizes.withColumn("n", F.sum("c").over(w)).withColumn("below", below)
+    # Distribution by document serves the groups by document and language too.
+    each = placed.groupBy("document_id", "language").agg(
+        F.sum("c").alias("c"), F.sum(F.col("token_count").cast("long") * F.col("c")).alias("t"), F.min("token_count").alias("lo"), F.max("token_count").alias("hi"),
+        F.min(F.when(F.col("below") > F.floor(F.col("n") / 2), F.col("token_count"))).alias("median"), F.min("strategy").alias("strategy"),
+    )
+    return each.groupBy("document_id").agg(
+        F.sum("c").alias("total_chunks"), F.sum("t").alias("total_tokens"), (F.sum("t") / F.sum("c")).alias("avg_tokens_per_chunk"),
+        F.min("lo").alias("min_tokens"), F.max("hi").alias("max_tokens"), F.min("median").alias("median_tokens"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("language", F.col("c").alias("n"))))).alias("language_distribution"), F.min("strategy").alias("strategy"),
+    )

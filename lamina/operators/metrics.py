@@ -81,21 +81,31 @@ class MetricsCollector:
             self.n = dict.fromkeys(
                 "documents chunks tokens embedding_calls embedding_hits embedding_misses detections language_hits language_misses errors recoverable unrecoverable fallbacks".split(), 0
             )
-            self.times: list[float] = []
-            self.strategies: dict[str, list[float]] = {}
+            #: Number, sum, least and largest of the times; number and sum by strategy. They don't grow with the documents.
+            self.times = (0, 0.0, 0.0, 0.0)
+            self.strategies: dict[str, tuple[int, float]] = {}
             self.languages: dict[str, int] = {}
 
     def _add(self, **more: int) -> None:
         for k, v in more.items():
             self.n[k] += v
 
+    def _time(self, n: int, total: float, least: float, most: float) -> None:
+        if n:
+            m, t, lo, hi = self.times
+            self.times = (m + n, t + total, min(lo, least) if m else least, max(hi, most) if m else most)
+
+    def _strategy(self, name: str, n: int, total: float) -> None:
+        m, t = self.strategies.get(name, (0, 0.0))
+        self.strategies[name] = (m + n, t + total)
+
     def record_document_processed(self, doc_id: str, language: str, strategy: str, duration_ms: float, chunk_count: int, token_count: int) -> None:
         if not self.enabled:
             return
         with self._lock:
             self._add(documents=1, chunks=chunk_count, tokens=token_count)
-            self.times.append(duration_ms)
-            self.strategies.setdefault(getattr(strategy, "value", strategy), []).append(duration_ms)
+            self._time(1, duration_ms, duration_ms, duration_ms)
+            self._strategy(getattr(strategy, "value", strategy), 1, duration_ms)
             language = getattr(language, "value", language)
             self.languages[language] = self.languages.get(language, 0) + 1
 
@@ -123,35 +133,35 @@ class MetricsCollector:
         by_strategy, by_language = strategy_summary(runs).collect(), language_summary(runs).collect()
         with self._lock:
             self._add(documents=one["documents_processed"], chunks=one["total_chunks_created"], tokens=one["total_tokens_processed"])
+            self._time(one["documents_processed"], one["total_processing_time_ms"], one["min_processing_time_ms"], one["max_processing_time_ms"])
             for r in by_strategy:
-                self.strategies.setdefault(r["strategy"], []).extend([r["avg_ms"] or 0.0] * r["usage"])
-                self.times += [r["avg_ms"] or 0.0] * r["usage"]
+                self._strategy(r["strategy"], r["usage"], (r["avg_ms"] or 0.0) * r["usage"])
             for r in by_language:
                 self.languages[r["language"]] = self.languages.get(r["language"], 0) + r["documents"]
 
     def get_summary(self) -> dict[str, Any]:
         with self._lock:
-            n, t = self.n, self.times
+            n, (count, total, least, most) = self.n, self.times
             asked = n["embedding_hits"] + n["embedding_misses"]
             return {
                 "documents_processed": n["documents"], "total_chunks_created": n["chunks"], "total_tokens_processed": n["tokens"],
-                "total_processing_time_ms": sum(t), "avg_processing_time_ms": sum(t) / len(t) if t else 0.0,
-                "min_processing_time_ms": min(t, default=0.0), "max_processing_time_ms": max(t, default=0.0),
+                "total_processing_time_ms": total, "avg_processing_time_ms": total / count if count else 0.0,
+                "min_processing_time_ms": least, "max_processing_time_ms": most,
                 "embedding_calls": n["embedding_calls"], "embedding_cache_hits": n["embedding_hits"], "embedding_cache_misses": n["embedding_misses"],
                 "embedding_cache_hit_rate": n["embedding_hits"] / asked if asked else 0.0,
                 "language_detections": n["detections"], "language_cache_hits": n["language_hits"], "language_cache_misses": n["language_misses"],
                 "total_errors": n["errors"], "recoverable_errors": n["recoverable"], "unrecoverable_errors": n["unrecoverable"], "fallbacks_triggered": n["fallbacks"],
-                "strategy_usage": {k: len(v) for k, v in self.strategies.items()},
-                "strategy_timing": {k: sum(v) / len(v) for k, v in self.strategies.items()},
+                "strategy_usage": {k: m for k, (m, _) in self.strategies.items()},
+                "strategy_timing": {k: t / m for k, (m, t) in self.strategies.items() if m},
                 "language_distribution": dict(self.languages),
             }
 
-    def export_prometheus(self, prefix: str = "chunker") -> str:
+    def export_prometheus(self, prefix: str = "lamina") -> str:
         """All of it in Prometheus' text format; nothing if disabled."""
         return prometheus(self.get_summary(), prefix) if self.enabled else ""
 
 
-def prometheus(values: dict[str, Any], prefix: str = "chunker") -> str:
+def prometheus(values: dict[str, Any], prefix: str = "lamina") -> str:
     out = []
     for key, name, kind, told in _COUNTERS:
         full = f"{prefix}_{name}"

@@ -197,6 +197,7 @@ class OpenAIEmbeddingProvider(Base):
     per_call: int = 2047
     max_retries: int = 3
     client: Callable[[], Any] | None = None
+    backoff: float = 2.0
     dimensions: dict = field(default_factory=lambda: {"text-embedding-3-small": 1536, "text-embedding-3-large": 3072, "text-embedding-ada-002": 1536}, hash=False)
 
     def _client(self):
@@ -220,7 +221,7 @@ class OpenAIEmbeddingProvider(Base):
         for i in range(0, len(texts), self.per_call):
             part = [t if t.strip() else " " for t in texts[i : i + self.per_call]]
             bucket.acquire()
-            reply = with_retry(lambda: client.embeddings.create(model=self.model, input=part), self.max_retries)
+            reply = with_retry(lambda: client.embeddings.create(model=self.model, input=part), self.max_retries, factor=self.backoff)
             out += [x.embedding for x in sorted(reply.data, key=lambda x: x.index)]
         return np.asarray(out, dtype=np.float32)
 
@@ -228,13 +229,17 @@ class OpenAIEmbeddingProvider(Base):
         return self.dimensions.get(self.model, 1536)
 
 
+def _retries(config: ChunkerConfig) -> int:
+    return config.max_retries if config.retry_on_network_error else 0
+
+
 def embedder(config: ChunkerConfig) -> Provider:
     """The provider a config names; ``hash`` is the one that needs no model."""
     kind = getattr(config.embedding_provider, "value", config.embedding_provider)
     if kind == "sentence_transformer":
         return SentenceTransformerProvider(config.embedding_model)
     if kind == "openai":
-        return OpenAIEmbeddingProvider(config.embedding_model, config.openai_api_key, max_retries=config.max_retries)
+        return OpenAIEmbeddingProvider(config.embedding_model, config.openai_api_key, max_retries=_retries(config), backoff=config.retry_backoff_factor)
     if kind == "hash":
         return HashEmbedder()
     raise EmbeddingError(f"pass a provider of your own for embedding_provider {kind!r}")
@@ -248,20 +253,31 @@ _SYSTEM = (
 )
 
 
-def chat(text: str, config: ChunkerConfig) -> str:
-    """A language model's division of ``text``, as it replies."""
+def chat(text: str, config: ChunkerConfig, client: Any = None, sleep=time.sleep) -> str:
+    """A language model's division of ``text``, as it replies.
+
+    Calls are retried as ``config`` says and keep a worker's limit; after
+    repeated failures its circuit breaker refuses them for a while.
+    """
 
     def make():
         from openai import OpenAI
 
         return OpenAI(api_key=config.secret())
 
-    client = once(("chat", config.secret()), make)
+    name = config.secret() if client is None else id(client)
+    client = client or once(("chat", name), make)
+    breaker, bucket = once(("breaker", name), CircuitBreaker), once(("bucket", 500), TokenBucket)
     system = _SYSTEM.format(size=config.chunk_size, chars=config.chunk_size * 4, least=config.min_chunk_size, most=config.max_chunk_size)
-    reply = client.chat.completions.create(
-        model=config.llm_model,
-        messages=[{"role": "system", "content": system}, {"role": "user", "content": f"The document:\n\n{text}"}],
-        temperature=0.0,
-        max_tokens=4096,
-    )
+
+    def call():
+        bucket.acquire()
+        return client.chat.completions.create(
+            model=config.llm_model,
+            messages=[{"role": "system", "content": system}, {"role": "user", "content": f"The document:\n\n{text}"}],
+            temperature=0.0,
+            max_tokens=4096,
+        )
+
+    reply = breaker.call(with_retry, call, _retries(config), factor=config.retry_backoff_factor, sleep=sleep)
     return reply.choices[0].message.content

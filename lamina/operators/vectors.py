@@ -50,30 +50,42 @@ def pairwise_distances(vectors: DataFrame, doc: str, pos: str, embedding: str =
     ).drop("__lamina_unit", "__lamina_next")
 
 
+def _slopes(d: DataFrame, doc: str, pos: str) -> DataFrame:
+    """With ``__lamina_g``: the size of the distance's central difference, one-sided at the ends."""
+    w = Window.partitionBy(doc).orderBy(pos)
+    before, after = F.lag("distance").over(w), F.lead("distance").over(w)
+    slope = F.coalesce((after - before) / 2, after - F.col("distance"), F.col("distance") - before)
+    return d.withColumn("__lamina_g", F.when(F.col("distance").isNotNull(), F.abs(slope)))
+
+
+def _limit(kind: str, amount: float, over=lambda c: c) -> Column:
+    """The threshold of a group's distances, or of a window's by ``over``; nulls don't count."""
+    if kind == "standard_deviation":
+        return over(F.avg("distance")) + F.lit(amount) * over(F.stddev_pop("distance"))
+    if kind == "interquartile":
+        low, high = over(F.percentile("distance", F.lit(0.25))), over(F.percentile("distance", F.lit(0.75)))
+        return high + F.lit(amount) * (high - low)
+    if kind == "gradient":
+        return over(F.avg("__lamina_g")) + F.lit(amount)
+    return over(F.percentile("distance", F.lit((amount if kind == "percentile" else 90.0) / 100)))
+
+
 def thresholds(distances: DataFrame, doc: str, pos: str, kind: str = "percentile", amount: float = 90.0) -> DataFrame:
     """(doc, threshold) from ``distances``, which has doc, pos and distance; nulls don't count."""
     d = distances.filter("distance is not null")
-    if kind == "standard_deviation":
-        value = F.avg("distance") + F.lit(amount) * F.stddev_pop("distance")
-    elif kind == "interquartile":
-        low, high = F.percentile("distance", F.lit(0.25)), F.percentile("distance", F.lit(0.75))
-        value = high + F.lit(amount) * (high - low)
-    elif kind == "gradient":
-        w = Window.partitionBy(doc).orderBy(pos)
-        before, after = F.lag("distance").over(w), F.lead("distance").over(w)
-        # Central differences, one-sided at the ends.
-        both = (after - before) / 2
-        d = d.withColumn("__lamina_g", F.abs(F.coalesce(both, after - F.col("distance"), F.col("distance") - before)))
-        value = F.avg("__lamina_g") + F.lit(amount)
-    else:
-        value = F.percentile("distance", F.lit((amount if kind == "percentile" else 90.0) / 100))
-    return d.groupBy(doc).agg(value.alias("threshold"))
+    d = _slopes(d, doc, pos) if kind == "gradient" else d
+    return d.groupBy(doc).agg(_limit(kind, amount).alias("threshold"))
 
 
 def breakpoints(distances: DataFrame, doc: str, pos: str, kind: str = "percentile", amount: float = 90.0) -> DataFrame:
-    """``distances`` with ``is_break``, whether a segment ends here. A document of a single distance has no gradient, so no break by it."""
-    found = distances.join(thresholds(distances, doc, pos, kind, amount), doc, "left")
-    return found.withColumn("is_break", F.coalesce(F.col("distance") >= F.col("threshold"), F.lit(False))).drop("threshold")
+    """``distances`` with ``is_break``, whether a segment ends here. A document of a single distance has no gradient, so no break by it.
+
+    Windows by document take the distances' own distribution: nothing is computed or shuffled again.
+    """
+    d = _slopes(distances, doc, pos) if kind == "gradient" else distances
+    whole = Window.partitionBy(doc)
+    limit = _limit(kind, amount, lambda c: c.over(whole))
+    return d.withColumn("is_break", F.coalesce(F.col("distance") >= limit, F.lit(False))).drop("__lamina_g")
 
 
 def segments(broken: DataFrame, doc: str, pos: str) -> DataFrame:

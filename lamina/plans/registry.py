@@ -528,7 +528,17 @@ def document_sections(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.posexplode(run("text")).alias("i", "n")).select("doc_id", "i", "n.*")
 
 
-@query()
+_BLOCK_LINES = f"""r AS ({s_rows('string_split(text, chr(10))')}), k AS (SELECT *, CASE {' '.join(f"WHEN regexp_matches(b, '{p}') THEN '{k}'" for k, p in (
+    ('header', f'^#{{1,6}}[{WS}]+'), ('table', '^[|].*[|]$'), ('list', f'^[-*+•][{WS}]+|^[0-9]+[.)][{WS}]+'), ('code', '^(```|~~~)')))} ELSE 'text' END AS k
+  FROM (SELECT *, {s_strip('s')} AS b FROM r)),
+f AS (SELECT *, sum((k = 'code')::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) % 2 = 1 AS inside FROM k),
+e AS (SELECT *, CASE WHEN inside OR k = 'code' THEN 'code' ELSE k END AS e, k = 'code' AND NOT inside AS closes, k = 'code' AND inside AS opens FROM f),
+p AS (SELECT *, sum((opens OR e = 'header' OR coalesce(pc OR pe = 'header' OR pe <> e, true))::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) AS block
+  FROM (SELECT *, lag(e) OVER w AS pe, lag(closes) OVER w AS pc FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY i))),
+bl AS (SELECT doc_id, block, any_value(e) AS type, string_agg(s, chr(10) ORDER BY i) AS content FROM p GROUP BY doc_id, block)"""
+
+
+@query(docs_sql(f"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY block) - 1)::INTEGER AS i, type, content FROM bl WHERE regexp_matches(content, '[^{WS}]')", _BLOCK_LINES))
 def split_blocks(spark, sf_dir):
     from pyspark.sql import types as T
 
@@ -743,6 +753,19 @@ def embed_chunks(spark, sf_dir):
     return chunking.embed(chunking.chunk(docs(spark, sf_dir), _SMALL).select("chunk_id", "text"))
 
 
+@query(
+    docs_sql(
+        "SELECT document_id, list_sort(list_distinct(list(language))) AS languages, count(*) AS total_chunks, sum(token_count)::BIGINT AS total_tokens, sum(token_count) / count(*) AS avg_tokens_per_chunk, "
+        "min(token_count) AS min_tokens, max(token_count) AS max_tokens, list_sort(list(token_count))[count(*) // 2 + 1] AS median_tokens, 'sentence' AS strategy FROM me GROUP BY 1",
+        f"{_CHUNKS}, me AS ({_META})",
+    )
+)
+def stats_of_documents(spark, sf_dir):
+    """All statistics of each document at once."""
+    found = corpus.get_stats(chunking.chunk(docs(spark, sf_dir), _SMALL))
+    return found.withColumn("languages", F.sort_array(F.map_keys("language_distribution"))).drop("language_distribution")
+
+
 @query()
 def chunk_json(spark, sf_dir):
     return chunking.to_dict(chunking.chunk(docs(spark, sf_dir), _SMALL))

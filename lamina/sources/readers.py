@@ -154,39 +154,46 @@ def read_pdf(data: bytes, page_separator: str = "\n\n", backend: str | None = No
     return page_separator.join(p for p in read_pdf_pages(data, backend) if p.strip())
 
 
-def _files(spark: SparkSession, path: str, pattern: str | None, parse: Callable[[bytes], str | list[str]], pages: bool) -> DataFrame:
+def _files(spark: SparkSession, path: str, pattern: str | None, parse: Callable[[bytes], str | list[str]], pages: bool, errors: bool) -> DataFrame:
+    """One file after another, so that a worker holds the text of one. With ``errors``, a file that can't be read is a row of a null text that tells why."""
     reader = spark.read.format("binaryFile")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    shape = "source_file string, page int, text string" if pages else "source_file string, text string"
+    names = ["source_file", *["page"] * pages, "text", *["error"] * errors]
+    shape = ", ".join(f"{n} {'int' if n == 'page' else 'string'}" for n in names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if pages:
-                rows = [(p, i, t) for p, c in zip(pdf["path"], pdf["content"]) for i, t in enumerate(parse(bytes(c)))]
-                yield pd.DataFrame(rows, columns=["source_file", "page", "text"]).astype({"page": "int32"})
-            else:
-                yield pd.DataFrame({"source_file": pdf["path"], "text": [parse(bytes(c)) for c in pdf["content"]]})
+            for name, content in zip(pdf["path"], pdf["content"]):
+                why = None
+                try:
+                    found = parse(bytes(content))
+                except Exception as e:
+                    if not errors:
+                        raise
+                    found, why = [None] if pages else None, f"{type(e).__name__}: {e}"
+                rows = [(name, i, t, why) for i, t in enumerate(found)] if pages else [(name, 0, found, why)]
+                yield pd.DataFrame(rows, columns=["source_file", "page", "text", "error"]).astype({"page": "int32", "text": object, "error": object})[names]
 
     return reader.load(path).select("path", "content").mapInPandas(run, shape)
 
 
-def html_files(spark: SparkSession, path: str, pattern: str | None = "*.html", heading_separator: str = "\n") -> DataFrame:
+def html_files(spark: SparkSession, path: str, pattern: str | None = "*.html", heading_separator: str = "\n", errors: bool = False) -> DataFrame:
     """(source_file, text) of HTML files; bytes that aren't UTF-8 are replaced."""
-    return _files(spark, path, pattern, lambda b: read_html(b.decode("utf-8", "replace"), heading_separator), False)
+    return _files(spark, path, pattern, lambda b: read_html(b.decode("utf-8", "replace"), heading_separator), False, errors)
 
 
-def epub_files(spark: SparkSession, path: str, pattern: str | None = "*.epub", chapter_separator: str = "\n\n---\n\n") -> DataFrame:
-    return _files(spark, path, pattern, lambda b: read_epub(b, chapter_separator), False)
+def epub_files(spark: SparkSession, path: str, pattern: str | None = "*.epub", chapter_separator: str = "\n\n---\n\n", errors: bool = False) -> DataFrame:
+    return _files(spark, path, pattern, lambda b: read_epub(b, chapter_separator), False, errors)
 
 
-def pdf_files(spark: SparkSession, path: str, pattern: str | None = "*.pdf", page_separator: str = "\n\n", backend: str | None = None) -> DataFrame:
-    return _files(spark, path, pattern, lambda b: read_pdf(b, page_separator, backend), False)
+def pdf_files(spark: SparkSession, path: str, pattern: str | None = "*.pdf", page_separator: str = "\n\n", backend: str | None = None, errors: bool = False) -> DataFrame:
+    return _files(spark, path, pattern, lambda b: read_pdf(b, page_separator, backend), False, errors)
 
 
-def pdf_pages(spark: SparkSession, path: str, pattern: str | None = "*.pdf", backend: str | None = None) -> DataFrame:
+def pdf_pages(spark: SparkSession, path: str, pattern: str | None = "*.pdf", backend: str | None = None, errors: bool = False) -> DataFrame:
     """(source_file, page, text), pages counted from 0."""
-    return _files(spark, path, pattern, lambda b: read_pdf_pages(b, backend), True)
+    return _files(spark, path, pattern, lambda b: read_pdf_pages(b, backend), True, errors)
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:

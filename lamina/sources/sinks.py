@@ -15,16 +15,23 @@ from lamina.operators import vectors
 STORES = {
     "chroma": ("document_id source_file chunk_index language token_count strategy section_title hierarchy_level contains_table contains_code".split(), 1000),
     "pinecone": ("document_id source_file chunk_index language token_count section_title text".split(), 100),
-    "qdrant": ("document_id source_file chunk_index language token_count strategy section_title heading_path text".split(), 64),
+    "qdrant": ("chunk_id document_id source_file chunk_index language token_count strategy section_title heading_path text".split(), 64),
 }
 
 
 def records(chunks: DataFrame, store: str) -> DataFrame:
-    """(id, document, metadata, vector) as a store of that kind takes them."""
+    """(id, document, metadata, vector) as a store of that kind takes them.
+
+    Qdrant takes numbers and UUIDs only: there the id is the first 128 bits of
+    chunk_id as a UUID, and the payload has chunk_id itself.
+    """
+    name = F.col("chunk_id")
+    if store == "qdrant":
+        name = F.concat_ws("-", *[F.substring("chunk_id", a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     fields = [c for c in STORES[store][0] if c in chunks.columns]
     plain = [F.col(c) if c != "heading_path" or store == "qdrant" else F.array_join(c, " > ").alias(c) for c in fields]
     vector = F.col("embedding").cast("array<float>") if "embedding" in chunks.columns else F.lit(None).cast("array<float>")
-    return chunks.select(F.col("chunk_id").alias("id"), F.col("text").alias("document"), F.struct(*plain).alias("metadata"), vector.alias("vector"))
+    return chunks.select(name.alias("id"), F.col("text").alias("document"), F.struct(*plain).alias("metadata"), vector.alias("vector"))
 
 
 def _send(rows: Iterator[Row], client: Any, store: str, size: int, name: str) -> None:
@@ -33,8 +40,12 @@ def _send(rows: Iterator[Row], client: Any, store: str, size: int, name: str) ->
     def flush() -> None:
         ids, meta = [r["id"] for r in held], [r["metadata"].asDict(True) for r in held]
         if store == "chroma":
-            more = {"embeddings": [list(r["vector"]) for r in held]} if held[0]["vector"] is not None else {}
-            client.upsert(ids=ids, documents=[r["document"] for r in held], metadatas=meta, **more)
+            # A call has a vector of every row or of none.
+            for bare in (False, True):
+                own = [(r["id"], r["document"], m, r["vector"]) for r, m in zip(held, meta) if (r["vector"] is None) == bare]
+                if own:
+                    i, d, m, v = map(list, zip(*own))
+                    client.upsert(ids=i, documents=d, metadatas=m, **({} if bare else {"embeddings": [list(x) for x in v]}))
         elif store == "pinecone":
             client.upsert(vectors=[{"id": i, "values": list(r["vector"]), "metadata": m} for i, r, m in zip(ids, held, meta)], namespace=name)
         else:

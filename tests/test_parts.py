@@ -80,6 +80,31 @@ def test_bucket_retry_fallback_and_breaker():
     assert isinstance(errors.wrap(TimeoutError("x")), errors.TimeoutExceeded)
 
 
+def test_chat_retries_and_then_refuses():
+    calls, slept = [], []
+
+    class Client:
+        class chat:
+            class completions:
+                @staticmethod
+                def create(**kw):
+                    calls.append(kw)
+                    raise ConnectionError
+
+    c = ChunkerConfig(strategy="agentic", openai_api_key="k", max_retries=2, retry_backoff_factor=3.0)
+    for _ in range(5):
+        with pytest.raises(ConnectionError):
+            providers.chat("text", c, Client, slept.append)
+    assert len(calls) == 15 and slept[:2] == [1.0, 3.0]
+    with pytest.raises(errors.CircuitOpen):
+        providers.chat("text", c, Client, slept.append)
+    providers.unload()
+    with pytest.raises(ConnectionError):
+        providers.chat("text", c.with_(retry_on_network_error=False), Client, slept.append)
+    assert len(calls) == 16
+    providers.unload()
+
+
 def test_embedders():
     e = providers.HashEmbedder(32)
     v = e.embed(["a b", "a b", ""])
@@ -129,6 +154,11 @@ def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("plain\ntext")
     assert [r.text for r in readers.html_files(spark, str(tmp_path)).collect()][0].startswith("# Ti tle")
     assert [r.text for r in readers.epub_files(spark, str(tmp_path)).collect()] == ["second\n\n---\n\nfirst"]
+    (tmp_path / "bad.epub").write_bytes(b"no archive")
+    rows = {r.source_file.rpartition("/")[2]: r for r in readers.epub_files(spark, str(tmp_path), errors=True).collect()}
+    assert rows["a.epub"].error is None and rows["bad.epub"].text is None and "BadZipFile" in rows["bad.epub"].error
+    with pytest.raises(Exception, match="BadZipFile"):
+        readers.epub_files(spark, str(tmp_path)).collect()
     assert "plain\ntext" in [r.text for r in readers.text_files(spark, str(tmp_path / "a.txt")).collect()]
     with pytest.raises(Exception, match="(?i)exist|found"):
         readers.html_files(spark, str(tmp_path / "none")).collect()
@@ -192,11 +222,16 @@ def test_stores(spark, tmp_path, store, size):
     out = str(tmp_path)
 
     class Client:
+        """As strict as the stores are: ids of Qdrant are UUIDs, and a vector is there for every row or for none."""
+
         def upsert(self, **kw):
             import os
             import pathlib
             import uuid
 
+            for p in kw.get("points", ()):
+                assert str(uuid.UUID(p["id"])) == p["id"] and p["payload"]["chunk_id"]
+            assert all(len(kw.get(k, kw["ids"])) == len(kw["ids"]) and None not in kw.get(k, ()) for k in ("embeddings", "documents", "metadatas") if "ids" in kw)
             pathlib.Path(out, f"{os.getpid()}-{uuid.uuid4().hex}").write_text(json.dumps(kw))
 
     chunks = chunking.embed(chunking.chunk(spark.createDataFrame([(1, "One two three four five. " * 40)], SHAPE), SMALL)).coalesce(1)
@@ -210,6 +245,12 @@ def test_stores(spark, tmp_path, store, size):
             sinks.write(chunks.drop("embedding"), store, Client)
         with pytest.raises(Exception, match="no embedding"):
             sinks.write(chunks.withColumn("embedding", F.lit(None).cast("array<float>")), store, Client)
+    else:
+        for p in tmp_path.iterdir():
+            p.unlink()
+        sinks.write(chunks.withColumn("embedding", F.when(F.col("chunk_index") % 2 == 1, F.col("embedding"))), store, Client, batch_size=4)
+        sent = [json.loads(p.read_text()) for p in tmp_path.iterdir()]
+        assert sum(len(s["ids"]) for s in sent) == n and sum(len(s.get("embeddings", ())) for s in sent) == n // 2
     found = sinks.search(chunks, chunks.first().embedding, 1).first()
     assert found.score == pytest.approx(1.0, abs=1e-5)
 
@@ -226,7 +267,7 @@ def test_metrics_and_log(spark):
     s = m.get_summary()
     assert (s["documents_processed"], s["total_chunks_created"], s["avg_processing_time_ms"], s["min_processing_time_ms"]) == (2, 4, 20.0, 10.0)
     assert s["embedding_cache_hit_rate"] == 0.75 and s["fallbacks_triggered"] == 1 and s["total_errors"] == 2 and s["embedding_calls"] == 2
-    assert 'chunker_strategy_usage_total{strategy="sentence"} 2' in m.export_prometheus()
+    assert 'lamina_strategy_usage_total{strategy="sentence"} 2' in m.export_prometheus()
     off = metrics.MetricsCollector(False)
     off.record_error("X", True)
     assert off.export_prometheus() == "" and off.get_summary()["total_errors"] == 0
@@ -237,6 +278,12 @@ def test_metrics_and_log(spark):
     assert metrics.StructuredLogger(False).cache_hit("e", "k").startswith("[cache_hit] ")
     runs = metrics.runs_of(chunking.chunk(spark.createDataFrame([(1, "One two. " * 50)], SHAPE), SMALL))
     assert json.loads(metrics.log_events(runs).first().json)["strategy"] == "sentence"
+    of = spark.createDataFrame([(str(i), "en", "sentence", 2, 9, t) for i, t in enumerate([10.0, 30.0, None])], "document_id string, language string, strategy string, chunk_count int, token_count int, duration_ms double")
+    m.record_document_processed("d", "en", "fixed", 20.0, 3, 30)
+    m.record_runs(of)
+    s = m.get_summary()
+    assert (s["documents_processed"], s["total_processing_time_ms"], s["min_processing_time_ms"], s["max_processing_time_ms"]) == (4, 60.0, 10.0, 30.0)
+    assert s["strategy_usage"] == {"fixed": 1, "sentence": 3}
 
 
 def test_streams_give_what_batches_give(spark, tmp_path):
@@ -278,6 +325,11 @@ def test_front(spark):
     api.register_sql(spark, SMALL)
     spark.createDataFrame([(1, "One two. " * 60)], SHAPE).createOrReplaceTempView("some_docs")
     assert spark.sql("select d.doc_id, c.text from some_docs d, lateral chunk_text(d.text) c").count() > 1
+    odd = spark.createDataFrame([(1, "Hello    world\x01. " * 30), (2, None), (3, " \n"), (4, "e\u0301te\u0301\n\n\n\n\u00a0x. " * 30)], SHAPE)
+    odd.createOrReplaceTempView("odd_docs")
+    got = spark.sql("select string(d.doc_id) document_id, c.* from odd_docs d, lateral chunk_text(d.text) c")
+    want = chunking.chunk(odd, SMALL).select("document_id", "chunk_index", "start_char", "end_char", "text")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
 
 
 def test_search_over_many_queries_without_broadcast(spark, monkeypatch):
