@@ -2,6 +2,9 @@
 
 Near copies go in stage 3: of each group the document of the least doc_id stays.
 All stages but the last return the columns of documents; n_chars follows text.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows,
+further columns of any name and empty tables; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,28 +23,28 @@ from lamina.llm.quality_rules import quality_filter
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules' combined votes find good."""
+    """Documents that the rules' combined votes find good. Null and empty texts vote as texts of no words; equal texts stay or go together."""
     return quality_filter(docs).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their source's boilerplate lines."""
+    """Documents without their source's boilerplate lines, with no text left if all are. Null texts and documents of no source stay as they are."""
     out = line_dedup(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: of the least doc_id, null ones last, and of its equal rows one. Documents without words stay."""
     return near_dedup(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as its source's target weight asks."""
+    """Each document as many times as its source's target weight asks; documents of no source are a source. Equal rows share what they get."""
     return mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in place of text."""
+    """Token ids in place of text; null for a null text, none for an empty one."""
     return encode(docs)
 
 
