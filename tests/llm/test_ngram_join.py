@@ -76,7 +76,7 @@ def met(sets, lots, bits, ranges, theta):
     return found
 
 
-@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("seed", range(3))
 def test_no_pair_is_lost_whatever_is_frequent_or_hot(monkeypatch, seed):
     """Small classes, lots, blocks and keys make combinations, hot n-grams, split lists and chance agreement common."""
     rng = np.random.default_rng(seed)
