@@ -129,6 +129,12 @@ def load(path: str, pattern: str = PATTERN) -> Bpe:
     return _LOADED[path, pattern]
 
 
+def forget() -> None:
+    """Drop what this worker has read and remembered; it is read again when needed."""
+    _LOADED.clear()
+    tokens.release()
+
+
 ADDED = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType()), T.StructField("round_trip", T.BooleanType())]
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,22 @@ def drop(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back(spark: SparkSession, forget: Callable[[], None]) -> None:
+    """Give the system what executors' heaps and Python workers still hold of earlier steps: neither shrinks by itself while work goes on.
+
+    A task for each core collects its executor's garbage and calls ``forget`` in its worker.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            forget()
+            yield batch
+
+    n = spark.sparkContext.defaultParallelism
+    swept = spark.range(0, n, 1, n).mapInArrow(run, "id long").selectExpr("id", "java_method('java.lang.System', 'gc') AS done")
+    swept.write.format("noop").mode("overwrite").save()
+
+
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: Column | None = None) -> DataFrame:
     """Broadcast hint for ``df`` if it has at most ``rows`` rows and BROADCAST_BYTES by ``size``, bytes of a row that varies in length; else ``df`` as it is. Call it on a ``cut``: it counts."""
     n, total = df.agg(F.count("*"), F.sum(F.lit(0) if size is None else size)).first()

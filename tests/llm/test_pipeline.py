@@ -9,7 +9,7 @@ from test_line_dedup import brute as lines_left
 from test_ngram_join import survivors
 from test_quality_rules import em, plain, vote
 
-from lamina.llm import line_dedup, mixing, ngram_join, quality_rules
+from lamina.llm import bpe, line_dedup, mixing, ngram_join, quality_rules
 from lamina.llm.bpe import PATTERN, VOCABULARY, read_ranks
 from lamina.llm.stats import FIELDS
 
@@ -57,3 +57,17 @@ def test_stages_keep_columns_and_take_odd_rows(spark):
             assert data or out.count() == 0
             docs = out
         assert docs.count() <= len(rows)
+
+
+def test_each_stage_gives_memory_back_first(spark):
+    """Heaps are collected before each stage, and a worker drops its vocabulary and remembered words."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Young" not in b.getName())
+    docs = spark.createDataFrame([(1, "the cat is on the mat", "en", "a", 9)], SHAPE)
+    for _, stage in corpus_pipeline.STAGES:
+        before = full()
+        stage(spark, docs, "")
+        assert full() > before
+    bpe.load(VOCABULARY).encode("some words")
+    bpe.forget()
+    assert not bpe._LOADED
