@@ -31,13 +31,21 @@ LOCAL texts of a lot is sent once for all of them, so none is too hot for a rang
 
 Candidates first meet by their parity bitmaps, which bound the similarity from
 above at a small part of a text's bytes; texts move for those that are left.
+
+Where groups and numbers of links are asked for, and not the pairs themselves, a
+list of sets of one signature only gives the pairs of its least set with the
+others. Those that are similar join to clusters. Inside a cluster all links are
+counted at once, by products of blocks of its sets, and no pair is spelled out;
+only pairs of a list that are in different clusters are candidates for
+themselves. So a cluster of m near copies costs m candidates instead of their
+square.
 """
 
 from __future__ import annotations
 
 import math
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -59,6 +67,10 @@ LOT, RANGE, LOCAL = 1 << 21, 1 << 20, 16
 SPARE, KEY = 10, (36, 48)
 #: Pairs to verify in one piece, and members of a list that are paired at once.
 PIECE, BLOCK = 200_000, 512
+#: n-grams and sets of a cluster's block at most, about; columns of a product at once; how many times a column's pairs must fit in a product to be counted one by one.
+GRAMS, MEMBERS, TILE, SPARSE = 1 << 19, 2000, 1024, 64
+#: Pairs of one set that are verified in one piece.
+STAR = 500
 #: Largest power of 2 of a size at which every n-gram is indexed singly.
 SINGLY = 4
 #: Texts of a lot at most; the number after the last stands for several.
@@ -377,6 +389,41 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         yield _rows(name, np.array([split], np.int32), np.array([0, len(at)]), own[at], sizes[at])
 
 
+def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As ``_lists``, but none is split, and the sets of each are in order."""
+    for sig, ident, size in _sorted_runs(batches):
+        order = np.lexsort((ident, sig))
+        sig, ident, size = sig[order], ident[order], size[order]
+        new = np.append(True, (sig[1:] != sig[:-1]) | (ident[1:] != ident[:-1]))
+        sig, ident, size = sig[new], ident[new], size[new]
+        count = np.diff(_edges(sig))
+        keep = np.repeat(count > 1, count)
+        ends = np.append(0, np.cumsum(count[count > 1]))
+        some, sizes = ident[keep], size[keep]
+        for a in range(0, len(ends) - 1, 50_000):
+            e = ends[a : a + 50_001]
+            yield _rows(some[e[:-1]], np.zeros(len(e) - 1, np.int32), e - e[0], some[e[0] : e[-1]], sizes[e[0] : e[-1]])
+
+
+def _different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists, sorted by their least set, each once: most of a group's signatures have the same sets."""
+
+    def flush() -> pa.RecordBatch:
+        ends = np.append(0, np.cumsum([len(x) for _, x, _ in out]))
+        return _rows(np.array([k for k, _, _ in out]), np.zeros(len(out), np.int32), ends, np.concatenate([x for _, x, _ in out]), np.concatenate([s for _, _, s in out]))
+
+    out, held = [], 0
+    for least, lists in _whole_groups(batches):
+        for x, s in {x.tobytes(): (x, s) for _, x, s in lists}.values():
+            out.append((least, x, s))
+            held += len(x)
+            if held > 100_000:
+                yield flush()
+                out, held = [], 0
+    if out:
+        yield flush()
+
+
 def _rows(least: np.ndarray, split: np.ndarray, ends: np.ndarray, sets: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
     ends = pa.array(ends.astype(np.int32))
     lists = [pa.ListArray.from_arrays(ends, pa.array(sets)), pa.ListArray.from_arrays(ends, pa.array(sizes.astype(np.int32)))]
@@ -474,6 +521,186 @@ def possible(size_a: np.ndarray, size_b: np.ndarray, bits_a: list[bytes], bits_b
     return keep
 
 
+def _apart(labels: np.ndarray, sets: np.ndarray, sizes: np.ndarray, least: int, start: int, theta: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a, b), a < b, of a list's sets with different labels, without those of ``least``, some at a time. In the order of labels; of the BLOCK sets from ``start`` on with later ones."""
+    n = len(sets)
+    first = np.searchsorted(labels, labels[start : start + BLOCK], side="right")
+    total = np.append(0, np.cumsum(n - first))
+    at = 0
+    while at < len(first):
+        stop = max(at + 1, int(np.searchsorted(total, total[at] + (1 << 20), side="right")) - 1)
+        count = n - first[at:stop]
+        i = np.repeat(np.arange(start + at, start + stop), count)
+        j = np.arange(len(i)) - np.repeat(np.append(0, np.cumsum(count))[:-1] - first[at:stop], count)
+        near = np.minimum(sizes[i], sizes[j]) >= theta * np.maximum(sizes[i], sizes[j])
+        near &= (sets[i] != least) & (sets[j] != least)
+        a, b = sets[i[near]], sets[j[near]]
+        yield np.minimum(a, b), np.maximum(a, b)
+        at = stop
+
+
+def _across(lists: DataFrame, labels: DataFrame, theta: float) -> DataFrame:
+    """(least, piece, a, b): candidates of different clusters. lists: least, sets, sizes; those of a list's least set have been verified. labels: node, head."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+
+        def flush() -> pa.RecordBatch:
+            least, a, b = (np.concatenate(c).astype(np.int64) for c in zip(*out))
+            by = np.lexsort((b, a))
+            new = np.append(True, (a[by][1:] != a[by][:-1]) | (b[by][1:] != b[by][:-1]))[: len(by)]
+            by = by[new]
+            return pa.RecordBatch.from_arrays([pa.array(least[by]), pa.array(np.zeros(len(by), np.int64)), pa.array(a[by]), pa.array(b[by])], names=["least", "piece", "a", "b"])
+
+        for batch in batches:
+            least, start = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            offsets = batch.column(2).offsets.to_numpy()
+            label, sets, sizes = (c.values.to_numpy() for c in batch.columns[2:])
+            for i in range(batch.num_rows):
+                own = slice(offsets[i], offsets[i + 1])
+                for a, b in _apart(label[own], sets[own], sizes[own].astype(np.float64), least[i], start[i], theta):
+                    out.append((np.full(len(a), least[i]), a, b))
+                    held += len(a)
+                    if held > 1_000_000:
+                        yield flush()
+                        out, held = [], 0
+        if out:
+            yield flush()
+
+    def named(lists: pa.Table, members: pa.Table) -> pa.Table:
+        """A group's lists of several labels, in the order of labels."""
+        if not len(lists):
+            return empty
+        sets, label = members.column("set").to_numpy(), members.column("label").to_numpy()
+        by = np.argsort(sets)
+        sets, label, out = sets[by], label[by], []
+        for x, size in zip(lists.column("sets"), lists.column("sizes")):
+            x, size = x.values.to_numpy(), size.values.to_numpy()
+            own = label[np.searchsorted(sets, x)]
+            order = np.lexsort((x, own))
+            if own[order[0]] != own[order[-1]]:
+                out.append((own[order], x[order], size[order]))
+        if not out:
+            return empty
+        ends = pa.array(np.append(0, np.cumsum([len(x) for x, _, _ in out])).astype(np.int32))
+        columns = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(c))) for c in zip(*out)]
+        return pa.table([pa.array(np.full(len(out), lists.column("least")[0].as_py())), *columns], schema=empty.schema)
+
+    many = pa.list_(pa.int64())
+    empty = pa.schema([("least", pa.int64()), ("label", many), ("set", many), ("size", pa.list_(pa.int32()))]).empty_table()
+    # A list of two has no other pair than that of its least set, and a group of one label has none.
+    long = lists.filter(F.size("sets") > 2)
+    members = long.select("least", F.explode("sets").alias("set")).distinct().join(if_small(labels), F.col("set") == F.col("node"), "left")
+    members = cut(members.select("least", "set", F.coalesce("head", "set").alias("label")))
+    mixed = cut(members.groupBy("least").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("least"))
+    long, members = (x.join(if_small(mixed), "least", "left_semi") for x in (long.select("least", "sets", "sizes"), members))
+    held = long.groupBy("least").cogroup(members.groupBy("least")).applyInArrow(named, "least long, label array<long>, set array<long>, size array<int>")
+    parts = held.withColumn("start", F.explode(F.sequence(F.lit(0), F.expr(f"int((size(`set`) - 1) div {BLOCK})"))))
+    flat = parts.select("least", (F.col("start") * BLOCK).alias("start"), "label", "set", "size")
+    return flat.repartition("least", "start").sortWithinPartitions("least").mapInArrow(tokens.tidy(run), "least long, piece long, a long, b long")
+
+
+def shared(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> np.ndarray:
+    """Number of n-grams that each of the sets ``a`` has in common with each of ``b``, or of ``a`` itself."""
+    every = a if b is None else a + b
+    n, m = len(a), len(a if b is None else b)
+    size = np.fromiter(map(len, every), dtype=np.int64, count=len(every))
+    _, column = np.unique(np.concatenate(every), return_inverse=True)
+    row = np.repeat(np.arange(len(every)), size)
+    split = int(size[:n].sum())
+    left, right = ((row[:split], column[:split]),) * 2 if b is None else ((row[:split], column[:split]), (row[split:] - n, column[split:]))
+    kinds = int(column.max()) + 1
+    met = np.bincount(left[1], minlength=kinds) * np.bincount(right[1], minlength=kinds)
+    # Of a single set, in a product with itself, only the set's own number with itself is less; it isn't asked for.
+    met[met < (2 if b is None else 1)] = 0
+    out = np.zeros((n, m), dtype=np.float32)
+    dense = met * SPARSE > n * m
+    number = np.cumsum(dense) - 1
+    sides = [(r[dense[c]], number[c[dense[c]]]) for r, c in (left, right)]
+    for at in range(0, int(dense.sum()), TILE):
+        tiles = []
+        for (r, c), rows in zip(sides, (n, m)):
+            own = (c >= at) & (c < at + TILE)
+            tile = np.zeros((rows, TILE), dtype=np.float32)
+            tile[r[own], c[own] - at] = 1
+            tiles.append(tile)
+        out += tiles[0] @ tiles[1].T
+    few = (met > 0) & ~dense
+    (r, c), (s, d) = ((r[few[c]], c[few[c]]) for r, c in (left, right))
+    by = np.argsort(d, kind="stable")
+    s, d = s[by], d[by]
+    begin = np.searchsorted(d, c)
+    count = np.searchsorted(d, c, side="right") - begin
+    total = np.append(0, np.cumsum(count))
+    at = 0
+    while at < len(c):
+        stop = max(at + 1, int(np.searchsorted(total, total[at] + (1 << 22), side="right")) - 1)
+        k = count[at:stop]
+        j = np.arange(int(k.sum())) - np.repeat(total[at:stop] - total[at] - begin[at:stop], k)
+        out += np.bincount(np.repeat(r[at:stop], k) * m + s[j], minlength=n * m).reshape(n, m)
+        at = stop
+    return out
+
+
+def linked(a: list[np.ndarray], b: list[np.ndarray] | None, theta: float) -> np.ndarray:
+    """Whether each of the sets ``a`` reaches ``theta`` with each of ``b``, or with the others of ``a``."""
+    both = shared(a, b).astype(np.float64)
+    size = np.array([len(x) for x in a], dtype=np.float64)
+    other = size if b is None else np.array([len(x) for x in b], dtype=np.float64)
+    out = both / (size[:, None] + other[None, :] - both) >= theta
+    if b is None:
+        np.fill_diagonal(out, False)
+    return out
+
+
+def _inside(texts: DataFrame, meta: DataFrame, held: DataFrame, labels: DataFrame, n: int, theta: float) -> DataFrame:
+    """(set, more): how many documents of its cluster's other sets each set is linked to. held: set, docs. labels: node, head."""
+
+    def count(table: pa.Table) -> pa.Table:
+        label, lo, hi, block = (table.column(x).to_numpy() for x in ("label", "lo", "hi", "block"))
+        docs, names = table.column("docs").to_numpy().astype(np.float64), table.column("set").to_numpy()
+        by = np.lexsort((block, hi, lo, label))
+        new = np.append(True, (np.diff(label[by]) != 0) | (np.diff(lo[by]) != 0) | (np.diff(hi[by]) != 0))
+        edge = np.append(np.flatnonzero(new), len(by))
+        text, sets, more = table.column("text"), [], []
+        for s, e in zip(edge[:-1], edge[1:]):
+            own = by[s:e]
+            first = own[block[own] == lo[own]] if lo[own[0]] < hi[own[0]] else own
+            second = own[len(first) :]
+            if len(own) < 2 or lo[own[0]] < hi[own[0]] and not (len(first) and len(second)):
+                continue
+            grams = [g for _, g in gram_sets([text[int(i)].as_py() for i in own], n)]
+            met = linked(grams[: len(first)], grams[len(first) :] or None, theta)
+            sets.append(names[first])
+            more.append(met @ docs[own[len(first) :] if len(second) else first])
+            if len(second):
+                sets.append(names[second])
+                more.append(met.T @ docs[first])
+        tokens.release()
+        if not sets:
+            return pa.table([pa.array([], pa.int64())] * 2, names=["set", "more"])
+        return pa.table([pa.array(np.concatenate(sets)), pa.array(np.concatenate(more).astype(np.int64))], names=["set", "more"])
+
+    every = labels.select(F.col("node").alias("set"), F.col("head").alias("label")).unionByName(labels.select(F.col("head").alias("set"), F.col("head").alias("label")).distinct())
+    # One text of each set.
+    which = meta.join(every, "set").groupBy("set", "label", "size").agg(F.min(F.struct("h", "c")).alias("t")).select("set", "label", "size", "t.h", "t.c").join(held.select("set", "docs"), "set")
+    which = cut(which)
+    blocks = F.ceil(F.greatest(F.sum("size") / GRAMS, F.count("*") / MEMBERS)).cast("int")
+    blocks = cut(which.groupBy("label").agg(blocks.alias("blocks"), F.sum("size").alias("grams")))
+    total = blocks.agg(F.sum(F.col("grams") * F.col("blocks"))).first()[0] or 0
+    placed = cut(which.join(if_small(blocks.select("label", "blocks")), "label").withColumn("block", F.pmod(F.xxhash64("set"), "blocks").cast("int")).drop("size"))
+    drop(which)
+    drop(blocks)
+    rows = texts.join(if_small(placed), ["h", "c"]).dropDuplicates(["set"])
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("label", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "set", "docs", "text")
+    bucket = F.pmod(F.xxhash64("label", "lo", "hi"), F.lit(-(-total // (2 * GRAMS)) or 1))
+    found = rows.groupBy(bucket.alias("bucket")).applyInArrow(count, "set long, more long")
+    out = cut(found.groupBy("set").agg(F.sum("more").alias("more")))
+    drop(placed)
+    return out
+
+
 def _together(pairs: DataFrame, sets: DataFrame, each: int, check, shape: str) -> DataFrame:
     """Applies ``check`` to buckets of about ``each`` pairs and the rows of ``sets`` of their members. pairs: a cut with least, piece, a, b."""
     buckets = max(1, -(-pairs.count() // each))
@@ -483,6 +710,17 @@ def _together(pairs: DataFrame, sets: DataFrame, each: int, check, shape: str) -
     return keyed.groupBy("bucket").cogroup(held.groupBy("at")).applyInPandas(check, shape)
 
 
+def _star_pieces(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs (least, piece, a, b) of each a with its b, STAR in a piece. A cut."""
+    once = cut(pairs.select("a", "b").distinct())
+    large = cut(once.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > STAR).select("a", F.ceil(F.col("n") / STAR).alias("blocks")))
+    placed = once.join(if_small(large), "a", "left")
+    out = cut(placed.select(F.col("a").alias("least"), F.coalesce(F.pmod(F.xxhash64("b"), "blocks"), F.lit(0)).cast("long").alias("piece"), "a", "b"))
+    drop(once)
+    drop(large)
+    return out
+
+
 def _pieces(pairs: DataFrame) -> DataFrame:
     """Distinct pairs (least, piece, a, b) under the least of their names, so that similar sets mostly are in one piece; large pieces are cut by blocks of sets. A cut."""
     once = cut(pairs.groupBy("a", "b").agg(F.min("least").alias("least")))
@@ -496,7 +734,7 @@ def _pieces(pairs: DataFrame) -> DataFrame:
     return out
 
 
-def _verified(texts: DataFrame, meta: DataFrame, pairs: DataFrame, n: int, theta: float) -> DataFrame:
+def _verified(texts: DataFrame, meta: DataFrame, pairs: DataFrame, n: int, theta: float, pieces: Callable[[DataFrame], DataFrame] = _pieces) -> DataFrame:
     """(a, b, jaccard) of the candidate pairs that reach theta. Bitmaps rule most out; the others are verified from whole texts. texts: h, c, text."""
 
     def screen(key, pdf, sets):
@@ -525,7 +763,7 @@ def _verified(texts: DataFrame, meta: DataFrame, pairs: DataFrame, n: int, theta
         return pd.DataFrame({"a": np.array(a, dtype=np.int64)[keep], "b": np.array(b, dtype=np.int64)[keep], "jaccard": sim[keep]})
 
     sketches = meta.select("set", "size", "bits").dropDuplicates(["set"])
-    left = _pieces(_together(pairs, sketches, 20_000, screen, "least long, piece long, a long, b long"))
+    left = pieces(_together(pairs, sketches, 20_000, screen, "least long, piece long, a long, b long"))
     wanted = left.select(F.explode(F.array("a", "b")).alias("set")).distinct()
     # One text of each set.
     which = cut(meta.join(wanted, "set", "left_semi").groupBy("set").agg(F.min(F.struct("h", "c")).alias("t")).select("set", "t.h", "t.c"))
@@ -541,11 +779,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.filter("text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), F.crc32("text").alias("c"), "text")
 
 
-def similar_sets(docs: DataFrame, n: int = N, theta: float = THETA) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, h, c, set) of each row of ``docs`` that has words, and (a, b, jaccard), a < b, of pairs of different sets. Cuts.
-
-    h and c tell the text. Of texts whose sets differ in spite of equal 64 bits, only those of one set are there.
-    """
+def _prepared(docs: DataFrame, n: int, theta: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows, texts, several, meta, index): (doc_id, h, c, set) of each row that has words; (h, c, text) of each text once, read over ``several``; (h, c, set, size, bits) of each text; and its signatures. All but texts are cuts."""
     if not LEAST <= theta <= 1:
         raise ValueError(f"theta must be from {LEAST} to 1")
     keyed = _keyed(docs)
@@ -562,17 +797,62 @@ def similar_sets(docs: DataFrame, n: int = N, theta: float = THETA) -> tuple[Dat
     canon = every.groupBy("set").agg(F.min("check").alias("check"))
     meta = cut(every.join(canon, ["set", "check"]).dropDuplicates(["h", "c"]).select("h", "c", "set", "size", "bits"))
     drop(scan)
+    rows = cut(keyed.select("doc_id", "h", "c").join(meta.select("h", "c", "set"), ["h", "c"]))
+    return rows, texts, several, meta, index
+
+
+def similar_sets(docs: DataFrame, n: int = N, theta: float = THETA) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, c, set) of each row of ``docs`` that has words, and (a, b, jaccard), a < b, of pairs of different sets. Cuts.
+
+    h and c tell the text. Of texts whose sets differ in spite of equal 64 bits, only those of one set are there.
+    """
+    rows, texts, several, meta, index = _prepared(docs, n, theta)
     lists = index.repartition("sig").sortWithinPartitions("sig").mapInArrow(tokens.tidy(_lists), "least long, split int, sets array<long>, sizes array<int>")
     pairs = cut(_candidates(lists, theta))
     drop(index)
     near = _verified(texts, meta, pairs, n, theta)
-    drop(pairs)
-    rows = cut(keyed.select("doc_id", "h", "c").join(meta.select("h", "c", "set"), ["h", "c"]))
-    drop(meta)
-    drop(several)
+    for x in (pairs, meta, several):
+        drop(x)
     return rows, near
 
 
+def linked_sets(docs: DataFrame, n: int = N, theta: float = THETA, counted: bool = False) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """As ``similar_sets``, but (node, head), the least set that each set reaches over links, in place of pairs. Cuts.
+
+    ``counted``: the third table is (set, more), the number of doc_ids of the sets that each set is linked to.
+    """
+    shape = "least long, split int, sets array<long>, sizes array<int>"
+    rows, texts, several, meta, index = _prepared(docs, n, theta)
+    lists = index.repartition("sig").sortWithinPartitions("sig").mapInArrow(tokens.tidy(_whole_lists), shape)
+    lists = cut(lists.repartition("least").sortWithinPartitions("least").mapInArrow(tokens.tidy(_different), shape))
+    drop(index)
+    star = lists.select("least", F.col("sizes")[0].alias("own"), F.inline(F.arrays_zip("sets", "sizes"))).filter("sets <> least")
+    star = star.filter(F.least("own", "sizes") >= theta * F.greatest("own", "sizes"))
+    star = cut(star.select("least", F.lit(0).cast("long").alias("piece"), F.col("least").alias("a"), F.col("sets").alias("b")).distinct())
+    near = _verified(texts, meta, star, n, theta, _star_pieces)
+    labels = cut(groups(near.select("a", "b")))
+    drop(star)
+    drop(near)
+    pairs = cut(_across(lists, labels, theta))
+    drop(lists)
+    other = _verified(texts, meta, pairs, n, theta)
+    drop(pairs)
+    heads, more = labels, None
+    if other.limit(1).count():
+        heads = cut(groups(labels.toDF("a", "b").unionByName(other.select("a", "b"))))
+    if counted:
+        held = cut(rows.select("doc_id", "set").distinct().groupBy("set").agg(F.count("*").alias("docs")))
+        both = other.select("a", "b").unionByName(other.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        across = both.join(held.select(F.col("set").alias("b"), "docs"), "b").select(F.col("a").alias("set"), F.col("docs").alias("more"))
+        inside = _inside(texts, meta, held, labels, n, theta)
+        more = cut(inside.unionByName(across).groupBy("set").agg(F.sum("more").alias("more")))
+        drop(inside)
+        drop(held)
+    for x in (other, meta, several):
+        drop(x)
+    return rows, heads, more
+
+
 def jaccard_join(docs: DataFrame, n: int = N, theta: float = THETA) -> DataFrame:
     """(doc_a, doc_b, jaccard), doc_a < doc_b: all pairs of documents of similarity ``theta`` or more.
 
@@ -638,12 +918,9 @@ def similar_groups(docs: DataFrame, n: int = N, theta: float = THETA) -> DataFra
     their length; other columns are ignored; an empty table gives an empty one.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null")
-    rows, near = similar_sets(docs, n, theta)
+    rows, heads, more = linked_sets(docs, n, theta, counted=True)
     ids = cut(rows.select("doc_id", "set").distinct())
     held = cut(ids.groupBy("set").agg(F.count("*").alias("docs"), F.min("doc_id").alias("least")))
-    both = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = both.join(held.select(F.col("set").alias("b"), "docs"), "b").groupBy(F.col("a").alias("set")).agg(F.sum("docs").alias("more"))
-    heads = cut(groups(near.select("a", "b")))
     placed = held.join(heads.select(F.col("node").alias("set"), "head"), "set", "left").withColumn("head", F.coalesce("head", "set"))
     least = placed.groupBy("head").agg(F.min("least").alias("class_id"))
     each = placed.join(least, "head").join(more, "set", "left")
@@ -663,8 +940,7 @@ def near_dedup(docs: DataFrame, n: int = N, theta: float = THETA) -> DataFrame:
     doc_id one stays, of the least text by its hash. All columns stay as they
     are, whatever their names; texts are read whole; an empty table stays empty.
     """
-    rows, near = similar_sets(docs, n, theta)
-    heads = cut(groups(near.select("a", "b")))
+    rows, heads, _ = linked_sets(docs, n, theta)
     grouped = rows.join(heads.select(F.col("node").alias("set"), "head"), "set", "left").select("doc_id", "h", "c", F.coalesce("head", "set").alias("head"))
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "c")
     best = grouped.groupBy("head").agg(F.min(first).alias("first"), F.count("*").alias("n"))

@@ -239,3 +239,36 @@ def test_edited_copies_are_near(spark):
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(edited)), (3, "else " * 50)], SHAPE)
     assert [(r.doc_a, r.doc_b) for r in jaccard_join(docs).collect()] == [(1, 2)]
     assert sorted(r.doc_id for r in near_dedup(docs).collect()) == [1, 3]
+
+
+def test_a_cluster_costs_as_many_candidates_as_sets(spark, monkeypatch):
+    """Near copies of one text, some of them far from others: links and classes as by brute force, without the square of candidates; in blocks."""
+    rng = random.Random(11)
+    base, rows, seen = [f"w{i}" for i in range(120)], copies(rng, 15), []
+    for i in range(150):
+        change = rng.choice([1, 2, 4, 10, 14])
+        rows.append((1000 + i, " ".join(f"x{i}_{k}" if rng.random() < change / 120 else w for k, w in enumerate(base))))
+    verified = ngram_join._verified
+
+    def counted(texts, meta, pairs, *more):
+        seen.append(pairs.count())
+        return verified(texts, meta, pairs, *more)
+
+    monkeypatch.setattr(ngram_join, "_verified", counted)
+    monkeypatch.setattr(ngram_join, "MEMBERS", 40)
+    found = similar_groups(spark.createDataFrame(rows, SHAPE)).collect()
+    want = classes(rows, ngram_join.THETA)
+    assert sorted(tuple(r) for r in found) == want
+    links = sum(n for _, _, n in want) // 2
+    assert links > 5000 and sum(seen) < links / 2
+
+
+@pytest.mark.parametrize("sparse", [1, 64, 10_000])
+def test_products_count_what_sets_share(monkeypatch, sparse):
+    monkeypatch.setattr(ngram_join, "SPARSE", sparse)
+    rng = np.random.default_rng(sparse)
+    pool = np.arange(1, 900, dtype=np.uint64)
+    a, b = ([np.unique(rng.choice(pool[: int(rng.integers(1, 900))], int(rng.integers(1, 80)))) for _ in range(k)] for k in (30, 21))
+    assert (ngram_join.shared(a, b) == [[len(np.intersect1d(x, y)) for y in b] for x in a]).all()
+    both = np.array([[len(np.intersect1d(x, y)) / len(np.union1d(x, y)) for y in a] for x in a])
+    assert (ngram_join.linked(a, None, 0.5) == (both >= 0.5) & ~np.eye(len(a), dtype=bool)).all()
