@@ -21,6 +21,8 @@ from lamina.config import ChunkerConfig
 #: White space inside a character class, and the same without the newline.
 WS = r"\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 BLANK = r"\t\x0B-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: All of WS, one by one.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"
 TASHKEEL = r"[\x{610}-\x{61A}\x{64B}-\x{65F}\x{670}\x{6D6}-\x{6DC}\x{6DF}-\x{6E8}\x{6EA}-\x{6ED}\x{FE70}-\x{FE7F}]"
 TATWEEL = "ـ"
@@ -52,8 +54,8 @@ LINES = [
 
 
 def strip(x: Column) -> Column:
-    """Without white space at both ends; trim() would only see U+0020."""
-    return F.regexp_replace(F.regexp_replace(x, rf"\A[{WS}]+", ""), rf"(?<![{WS}])[{WS}]+\z", "")
+    """Without white space at both ends; trim() alone would only see U+0020."""
+    return F.btrim(x, F.lit(SPACES))
 
 
 @F.pandas_udf(T.StringType())
@@ -72,7 +74,12 @@ def strip_control(x: Column) -> Column:
 
 
 def collapse_spaces(x: Column) -> Column:
-    return F.regexp_replace(x, rf"[{BLANK}]+", " ")
+    return _single(x, BLANK)
+
+
+def _single(x: Column, kind: str) -> Column:
+    """Runs of ``kind``, a class with U+0020, as single spaces. Runs that are one already, which most are, don't match."""
+    return F.regexp_replace(x, rf"[{kind.replace(r'\x20', r'\x1F')}][{kind}]*| [{kind}]+", " ")
 
 
 def cap_newlines(x: Column, most: int = 2) -> Column:
@@ -148,8 +155,9 @@ def count_sentences(x: Column) -> Column:
 
 
 def count_words(x: Column) -> Column:
-    # A word each where a non-space follows a space: only those letters are left.
-    return F.length(F.regexp_replace(F.regexp_replace(x, rf"[^{WS}]+", "x"), rf"[{WS}]+", "")).cast("int")
+    # Words are a space apart then, so there is one more of them than of spaces.
+    apart = F.trim(_single(x, WS))
+    return (F.length(apart) - F.length(F.replace(apart, F.lit(" "), F.lit(""))) + (apart != "").cast("int")).cast("int")
 
 
 def truncate_text(x: Column, most: int = 200) -> Column:

@@ -124,7 +124,9 @@ def s_rows(expression: str, source: str = "docs") -> str:
 
 
 def rows_of(df: DataFrame, parts) -> DataFrame:
-    return df.select("doc_id", F.posexplode(parts).alias("i", "s")).withColumn("i", F.col("i").cast("long"))
+    # For an inner explode Spark would first filter by the size of the parts, and so make them several times.
+    rows = df.select("doc_id", F.posexplode_outer(parts).alias("i", "s")).filter(F.col("i").isNotNull())
+    return rows.withColumn("i", F.col("i").cast("long"))
 
 
 # Normalization.
@@ -180,8 +182,9 @@ def detect_script(spark, sf_dir):
     )
 )
 def detect_segments(spark, sf_dir):
-    found = rows_of(docs(spark, sf_dir), language.detect_segments(segment.sentences_fast(F.col("text"))))
-    return found.select("doc_id", "i", "s.sentence", "s.language")
+    # Row by row, where the language is compiled; inside a transform() it would be interpreted.
+    found = rows_of(docs(spark, sf_dir), segment.sentences_fast(F.col("text")))
+    return found.select("doc_id", "i", F.col("s").alias("sentence"), language.detect_language(F.col("s")).alias("language"))
 
 
 def _runs_sql(source: str) -> str:
