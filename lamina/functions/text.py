@@ -102,13 +102,22 @@ def _python(pattern: str) -> re.Pattern:
     return re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", pattern))
 
 
-_CONTROL, _BLANKS, _ENDS = _python(CONTROL), _python(f"[{BLANK}]+"), _python(rf"\A[{WS}]+|[{WS}]+\Z")
+_CONTROL, _BLANKS = _python(CONTROL), _python(f"[{BLANK}]+")
+#: Blanks that aren't U+0020.
+_ODD = _python(f"[{BLANK.replace(r'\x20', r'\x1F')}]")
 
 
 def normalized(text: str) -> str:
     """normalize_text of a single text."""
-    text = _BLANKS.sub(" ", _CONTROL.sub("", unicodedata.normalize("NFC", text)))
-    return _ENDS.sub("", re.sub(r"\n{3,}", "\n\n", text))
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text)
+    text = _CONTROL.sub("", text)
+    # Most texts need none of the rest, and it is cheap to tell.
+    if "  " in text or _ODD.search(text):
+        text = _BLANKS.sub(" ", text)
+    if "\n\n\n" in text:
+        text = re.sub(r"\n{3,}", "\n\n", text)
+    return text.strip()
 
 
 def normalize_arabic(x: Column, config: ChunkerConfig = ChunkerConfig()) -> Column:

@@ -1,14 +1,16 @@
 """Documents in, chunks out, with the metadata of each chunk.
 
-Normalization and per-chunk metadata are built-in expressions; between them one
-Arrow function takes a batch of documents through language, sentences and the
-strategy. The plan is narrow: no shuffle, one row of work a document.
+One Arrow function takes documents, a few MB at a time, through normalization,
+language, sentences and the strategy; per-chunk metadata are built-in
+expressions. The plan is narrow: no shuffle, one row of work a document, and one
+Python worker a task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +27,7 @@ Strategy = Callable[[list[str], str, ChunkerConfig], list[str]]
 _CUSTOM: dict[str, Strategy] = {}
 
 #: Bytes of documents that are chunked at once in a task.
-BITE = 8 << 20
+BITE = 2 << 20
 
 _PIECE = pa.struct(
     [
@@ -35,7 +37,7 @@ _PIECE = pa.struct(
     ]
 )
 _ADDED = pa.schema(
-    [("normalized", pa.string()), ("doc_language", pa.string()), ("total_sentences", pa.int32()), ("total_tokens", pa.int32()), ("pieces", pa.list_(_PIECE))]
+    [("total_chars", pa.int32()), ("doc_language", pa.string()), ("total_sentences", pa.int32()), ("total_tokens", pa.int32()), ("pieces", pa.list_(_PIECE))]
 )
 
 
@@ -127,10 +129,11 @@ def pieces(
     config: ChunkerConfig,
     provider: Provider | None = None,
     ask: Callable[[str, ChunkerConfig], str] | None = None,
-    column: str = "normalized",
+    column: str = "text",
     counts: bool = True,
+    read: Callable[[str], str] | None = None,
 ) -> DataFrame:
-    """``docs`` with the document's language, counts and array of chunk structs; ``column`` holds normalized text."""
+    """``docs`` with the document's language, counts and array of chunk structs, without ``column``, which holds texts or what ``read`` makes texts of."""
     custom = _CUSTOM.get(config.strategy)
     if not custom:
         config.validate()
@@ -140,18 +143,18 @@ def pieces(
         from lamina.operators.providers import chat
 
         ask = chat
-    kept = [f for f in docs.schema.fields if f.name not in (column, "doc_language", "total_sentences", "total_tokens", "pieces")]
+    kept = [f for f in docs.schema.fields if f.name not in (column, *_ADDED.names)]
     shape = T.StructType([*kept, *from_arrow_schema(_ADDED)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in bites(whole):
-                texts = batch.column(batch.num_columns - 1)
-                rows = [chunk_text(t or "", config, provider, ask, custom, counts) for t in texts.to_pylist()]
+                texts = [text.normalized((read(t) if read else t) or "") if t else "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+                rows = [chunk_text(t, config, provider, ask, custom, counts) for t in texts]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *batch.columns[:-1],
-                        texts,
+                        pa.array(map(len, texts), pa.int32()),
                         pa.array([r["doc_language"] for r in rows], pa.string()),
                         pa.array([r["total_sentences"] for r in rows], pa.int32()),
                         pa.array([r["total_tokens"] for r in rows], pa.int32()),
@@ -163,6 +166,21 @@ def pieces(
     return docs.select(*[F.col(f"`{f.name}`") for f in kept], column).mapInArrow(run, shape)
 
 
+def split_rows(docs: DataFrame, split: Callable[[str], list[str]], document_id: str = "doc_id", column: str = "text") -> DataFrame:
+    """(document_id, i, s): what ``split`` makes of each text, numbered; null texts give nothing."""
+    shape = T.StructType([docs.schema[document_id], T.StructField("i", T.LongType()), T.StructField("s", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in bites(whole):
+                found = [[] if t is None else split(t) for t in batch.column(1).to_pylist()]
+                own = pa.array([k for k, parts in enumerate(found) for _ in parts], pa.int32())
+                places = pa.array([i for parts in found for i in range(len(parts))], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), places, pa.array([s for parts in found for s in parts], pa.string())], names=shape.names)
+
+    return docs.select(document_id, column).mapInArrow(run, shape)
+
+
 def _flag(name: str, arabic: Column) -> Column:
     return F.when(arabic, F.col("text").rlike(f"(?dm){text.FLAGS_AR[name]}")).otherwise(F.col("text").rlike(f"(?dm){text.FLAGS_EN[name]}"))
 
@@ -208,7 +226,7 @@ def enrich(found: DataFrame, config: ChunkerConfig) -> DataFrame:
 
 
 def prepare(docs: DataFrame, document_id: str = "doc_id", column: str = "text", extra: dict[str, str] | None = None) -> DataFrame:
-    """document_id, source_file, custom and normalized text of any table of documents.
+    """document_id, source_file, custom and ``text`` of any table of documents.
 
     source_file and custom come from columns of these names, if there are any;
     ``extra`` is added to custom. Rows of a null text are left out: they are no
@@ -223,7 +241,7 @@ def prepare(docs: DataFrame, document_id: str = "doc_id", column: str = "text",
         F.col(document_id).cast("string").alias("document_id"),
         (F.coalesce(F.col("source_file"), F.lit("")) if "source_file" in names else F.lit("")).alias("source_file"),
         custom.alias("custom"),
-        text.normalize_text(F.col(column)).alias("normalized"),
+        F.col(column).alias("text"),
     )
 
 
@@ -235,15 +253,16 @@ def chunk(
     provider: Provider | None = None,
     ask: Callable[[str, ChunkerConfig], str] | None = None,
     extra: dict[str, str] | None = None,
+    read: Callable[[str], str] | None = None,
 ) -> DataFrame:
     """Chunks of every document, one a row.
 
+    ``read`` makes a text of what ``column`` holds, in the worker that chunks it.
     Null and blank texts give no chunks. Other columns don't come along; join
     on document_id for them. Equal documents give equal chunks, told apart by
     document_id alone.
     """
-    # The text itself isn't needed beyond the Arrow function.
-    made = pieces(prepare(docs, document_id, column, extra), config, provider, ask, counts=False).drop("normalized")
+    made = pieces(prepare(docs, document_id, column, extra), config, provider, ask, counts=False, read=read)
     return enrich(made.select("document_id", "source_file", "custom", "doc_language", F.inline("pieces")), config)
 
 
@@ -252,7 +271,7 @@ def document_info(docs: DataFrame, config: ChunkerConfig = ChunkerConfig(), docu
     made = pieces(prepare(docs, document_id, column), config)
     return made.select(
         "document_id", "source_file", F.col("doc_language").alias("language"),
-        F.length("normalized").alias("total_chars"), "total_sentences", "total_tokens",
+        "total_chars", "total_sentences", "total_tokens",
     )
 
 
@@ -287,9 +306,12 @@ def embed(chunks: DataFrame, provider: Provider = HashEmbedder(), column: str =
         wanted = wanted.join(known, key, "left_anti")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            vectors = provider.embed(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[float(x) for x in v] for v in vectors], pa.list_(pa.float32()))], names=[key, "embedding"])
+        for whole in batches:
+            for batch in bites(whole):
+                vectors = [np.asarray(v, dtype=np.float32) for v in provider.embed(batch.column(1).to_pylist())]
+                ends = np.cumsum([0, *map(len, vectors)], dtype=np.int32)
+                flat = pa.array(np.concatenate(vectors) if vectors else [], pa.float32())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], names=[key, "embedding"])
 
     made = wanted.select(key, "__lamina_text").mapInArrow(run, f"{key} string, embedding array<float>")
     table = made if known is None else made.unionByName(known)

@@ -18,7 +18,7 @@ from lamina.functions.text import BLANK, CONTROL, FLAGS_AR, FLAGS_EN, LINES, TAS
 from lamina.operators import chunking, corpus, metrics, spec, vectors
 from lamina.operators.providers import HashEmbedder
 from lamina.plans import fixtures
-from lamina.sources.readers import html_text
+from lamina.sources.readers import html_text, read_html
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -286,7 +286,7 @@ def sentences_structure(spark, sf_dir):
 
 @query(docs_sql(s_rows(s_english("text"))))
 def sentences_english(spark, sf_dir):
-    return rows_of(docs(spark, sf_dir), segment.sentences_english(F.col("text")))
+    return chunking.split_rows(docs(spark, sf_dir), segment.english)
 
 
 @query(docs_sql(s_rows(s_sentences_arabic(s_arabic("text")))))
@@ -309,7 +309,8 @@ def paragraphs(spark, sf_dir):
     )
 )
 def sentences_routed(spark, sf_dir):
-    return rows_of(docs(spark, sf_dir), segment.sentences(text.normalize_text(F.col("text"))))
+    config = ChunkerConfig()
+    return _fold_rows(spark, sf_dir, lambda t: segment.segment(t, segment.language(t), config))
 
 
 # Packing and strategies.
@@ -355,8 +356,7 @@ def s_split(x: str, c: ChunkerConfig) -> str:
 
 
 def _fold_rows(spark, sf_dir, f) -> DataFrame:
-    run = segment._series(f)
-    return rows_of(docs(spark, sf_dir), run(text.normalize_text(F.col("text"))))
+    return chunking.split_rows(docs(spark, sf_dir), lambda t: f(text.normalized(t)))
 
 
 _N = f"n AS (SELECT doc_id, {s_normal('text')} AS text FROM docs), s AS (SELECT doc_id, {s_parts('text', '.!?؟')} AS l FROM n)"
@@ -577,8 +577,8 @@ def html_to_text(spark, sf_dir):
 
 @query()
 def html_chunks(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("source_file"), html_text(F.col("html")).alias("text"))
-    return chunking.chunk(pages, document_id="page_id").drop("custom")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("source_file"), "html")
+    return chunking.chunk(pages, document_id="page_id", column="html", read=read_html).drop("custom")
 
 
 @query()

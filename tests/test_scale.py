@@ -5,6 +5,7 @@ from conftest import DATA
 from pyspark.sql import functions as F
 
 from lamina.functions import language, segment, text
+from lamina.operators import chunking
 from lamina.plans import fixtures, registry
 
 SF = f"{DATA}/sf0.001"
@@ -45,3 +46,26 @@ def test_language_script_and_words_of_odd_texts(spark):
         assert r.l == segment.language(x), x
         assert r.s == ("mixed" if not a + n or 0.3 <= a / (a + n) <= 0.7 else "arabic" if a / (a + n) > 0.7 else "latin"), x
         assert (r.w, r.b, r.c) == (len(x.split()), x.strip(), text._BLANKS.sub(" ", x)), x
+
+
+@pytest.mark.parametrize("name", ["html_chunks", "split_oversized", "merge_small", "sentences_routed", "chunk_structure_aware", "metrics_summary", "dedup_within", "document_info"])
+def test_one_worker_a_task(spark, name):
+    """Parsing and normalization had Python workers of their own, which took 10,000 rows at once."""
+    plan = plan_of(registry.QUERIES[name](spark, SF))
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan and "regexp_replace(text" not in plan
+
+
+def test_plain_normalization_is_that_of_columns(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "i int, t string")
+    for r in df.select("i", text.normalize_text(F.col("t")).alias("n")).collect():
+        assert r.n == (None if ODD[r.i] is None else text.normalized(ODD[r.i])), ODD[r.i]
+
+
+def test_rows_of_null_and_blank_texts(spark, monkeypatch):
+    monkeypatch.setattr(chunking, "BITE", 1)
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "A b. C"), (4, "D")], "doc_id long, text string").coalesce(1)
+    assert [tuple(r) for r in chunking.split_rows(df, segment.fast).collect()] == [(3, 0, "A b."), (3, 1, "C"), (4, 0, "D")]
+    info = {r.document_id: (r.language, r.total_chars) for r in chunking.document_info(df).collect()}
+    assert info == {"2": ("unknown", 0), "3": ("en", 6), "4": ("en", 1)}
+    read = chunking.chunk(df, column="text", read=lambda t: t.replace("D", "# E\n\nF"))
+    assert [(r.document_id, r.text) for r in read.select("document_id", "text").collect()] == [("3", "A b.\n\nC"), ("4", "# E\n\nF")]
