@@ -1,11 +1,12 @@
 """Steps whose time or memory must not grow faster than the input: what they plan, and that short cuts change no result."""
 
+import numpy as np
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
 from lamina.functions import language, segment, text
-from lamina.operators import chunking
+from lamina.operators import chunking, providers
 from lamina.plans import fixtures, registry
 
 SF = f"{DATA}/sf0.001"
@@ -52,7 +53,7 @@ def test_language_script_and_words_of_odd_texts(spark):
 def test_one_worker_a_task(spark, name):
     """Parsing and normalization had Python workers of their own, which took 10,000 rows at once."""
     plan = plan_of(registry.QUERIES[name](spark, SF))
-    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan and "regexp_replace(text" not in plan
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
 
 
 def test_plain_normalization_is_that_of_columns(spark):
@@ -69,3 +70,15 @@ def test_rows_of_null_and_blank_texts(spark, monkeypatch):
     assert info == {"2": ("unknown", 0), "3": ("en", 6), "4": ("en", 1)}
     read = chunking.chunk(df, column="text", read=lambda t: t.replace("D", "# E\n\nF"))
     assert [(r.document_id, r.text) for r in read.select("document_id", "text").collect()] == [("3", "A b.\n\nC"), ("4", "# E\n\nF")]
+
+
+def test_hashed_words_stay_few_and_change_no_vector(monkeypatch):
+    """A worker remembered 200,000 words, of any length."""
+    texts = ["", "a b A", "long" * 20, *(f"w{i} w{i % 7} x" for i in range(1200))]
+    want = providers.HashEmbedder(16).embed(texts)
+    assert (np.vstack([providers.HashEmbedder(16).embed([t]) for t in texts]) == want).all()
+    assert np.allclose(np.linalg.norm(want, axis=1)[1:], 1) and not want[0].any()
+    monkeypatch.setattr(providers._Slots, "MOST", 5)
+    providers._slots.cache_clear()
+    assert (providers.HashEmbedder(16).embed(texts) == want).all() and len(providers._slots(16)) <= 5
+    providers._slots.cache_clear()
